@@ -14,9 +14,13 @@ each link is confirmed on the full sets. With 32 bands of 4 coordinates a pair a
 similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 
 Candidates of a band are not expanded to all pairs: a first round links each
-class to the smallest of its band, a second one to the largest; only pairs
-that are still in different components after that are tested one by one.
-Pairs left untested are in one component, so no component loses a link.
+class to the smallest of its band, a second one to the largest. Pairs left
+untested after that are in one component, or in different ones; of the latter
+those are tested that two bounds leave open:
+* shingles that no other class of such a band has cannot be shared, so the
+  intersection is at most the smaller count of the others (exact);
+* the sketches agree in at least as many coordinates as a pair at the threshold
+  does less 5.5 standard deviations (a link is lost with probability 2e-8).
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import WORDS, bitmap_slot, hashed_words, id_bitmap, in_bitmap, mix, slices, stored, table, two, window_hashes
 from .components import connected_components
 
-#: Words of a shingle, similarity in hundredths, coordinates and bands of op5.
-SHINGLE, PERCENT, BINS, BANDS = 5, 80, 128, 32
+#: Words of a shingle, similarity in hundredths, coordinates, bands and coordinates of a band.
+SHINGLE, PERCENT, BINS, BANDS, ROWS = 5, 80, 256, 32, 4
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -65,8 +69,7 @@ def sketch(sets: list[np.ndarray], bins: int) -> np.ndarray:
     return out
 
 
-def band_keys(sketches: np.ndarray, bands: int) -> np.ndarray:
-    rows = sketches.shape[1] // bands
+def band_keys(sketches: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
     parts = sketches[:, : rows * bands].reshape(len(sketches), bands, rows)
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sketches), bands)).copy()
     for i in range(rows):
@@ -74,16 +77,35 @@ def band_keys(sketches: np.ndarray, bands: int) -> np.ndarray:
     return mix(key).astype(np.int64)
 
 
+def nibbles(sketches: np.ndarray) -> np.ndarray:
+    """Four hashed bits of each coordinate, sixteen to a long."""
+    four = (mix(sketches) & np.uint64(15)).reshape(len(sketches), -1, 16)
+    return np.bitwise_or.reduce(four << np.arange(0, 64, 4, dtype=np.uint64), axis=2).astype(np.int64)
+
+
+def _agree(bins: int, percent: int) -> str:
+    """Condition: columns fa and fb of nibbles agree as often as a link's must."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    least = int(bins * p - 5.5 * (bins * p * (1 - p)) ** 0.5)
+    one = "bit_count(({y} | shiftrightunsigned({y}, 2)) & 1229782938247303441L)"
+    differ = [one.format(y=f"(({x}) | shiftrightunsigned({x}, 1))") for x in (f"(fa[{i}] ^ fb[{i}])" for i in range(bins // 16))]
+    return f"{bins} - ({' + '.join(differ)}) >= {least}"
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(values.reshape(-1)))
+
+
 def _sketches(size: int, bins: int, bands: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"), size)
-                keys = band_keys(sketch(sets, bins), bands)
+                filled = sketch(sets, bins)
                 n = np.array([len(s) for s in sets], np.int64)
                 sums = np.array([[s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), lists], ["id", "n", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), pa.array(sums[:, 0].copy()), pa.array(sums[:, 1].copy()), _lists(band_keys(filled, bands)), _lists(nibbles(filled))], ["id", "n", "d1", "d2", "bands", "four"])
 
     return run
 
@@ -112,7 +134,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is kept. Rows that repeat an id share one fate. An empty table gives no rows.
     """
     rows = two(docs, id_col, text_col)
-    s = stored(rows.mapInArrow(_sketches(size, bins, bands), "id long, n long, d1 long, d2 long, bands array<long>"), "sketches")
+    s = stored(rows.mapInArrow(_sketches(size, bins, bands), "id long, n long, d1 long, d2 long, bands array<long>, four array<long>"), "sketches")
     full = s.where("n > 0 and id is not null")
     classes = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("cls"))
     reps = full.join(classes.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"])
@@ -134,7 +156,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
             return both.where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
 
-        sizes = reps.select(F.col("id").alias("p"), F.col("n").alias("np"))
         seen = none
         for pivot in ("lo", "hi"):
             pairs = band.where(f"cls <> {pivot}").select(F.least("cls", pivot).alias("a"), F.greatest("cls", pivot).alias("b")).distinct()
@@ -146,9 +167,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             comp = stored(connected_components(links), "components")
         own = band.select("key", "cls", "n").join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        left = own.join(mixed, "key").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        right = left.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
-        rest = left.join(right, "key").where(f"a < b and ca <> cb and {fits}").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+        own = stored(own.join(mixed, "key"), "mixed")
+        shingles = own.select(F.col("cls").alias("id")).distinct().join(sets, "id").select(F.col("id").alias("cls"), F.explode("set").alias("x"))
+        common = shingles.groupBy("x").agg(F.count("*").alias("df")).where("df > 1").select("x")
+        share = shingles.join(common, "x").groupBy("cls").agg(F.count("*").alias("s"))
+        own = own.join(share, "cls").where(f"100 * s >= {percent} * n").join(reps.select(F.col("id").alias("cls"), "four"), "cls")
+        left = own.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("s").alias("sa"), F.col("four").alias("fa"))
+        right = own.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("s").alias("sb"), F.col("four").alias("fb"))
+        bound = f"{100 + percent} * least(sa, sb) >= {percent} * (na + nb)"
+        rest = left.join(right, "key").where(f"a < b and ca <> cb and {fits} and {bound} and {_agree(bins, percent)}").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
         new = stored(confirmed(rest), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
