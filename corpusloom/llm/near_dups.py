@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = s.where("n > 0 and id is not null")
     classes = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("cls"))
     reps = full.join(classes.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    banded = reps.select(F.explode("bands").alias("key"), F.col("id").alias("cls"), "n")
+    banded = reps.select(F.posexplode("bands").alias("band", "key"), F.col("id").alias("cls"), "n")
     shared = banded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
     band = stored(banded.join(shared, "key"), "bands")
     needed = band.select("cls").distinct()
@@ -165,17 +165,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             seen = stored(seen.unionByName(pairs.select("a", "b")), "tested")
             links = links.unionByName(new)
             comp = stored(connected_components(links), "components")
-        own = band.select("key", "cls", "n").join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        own = band.select("band", "key", "cls", "n").join(comp.withColumnRenamed("v", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         own = stored(own.join(mixed, "key"), "mixed")
         shingles = own.select(F.col("cls").alias("id")).distinct().join(sets, "id").select(F.col("id").alias("cls"), F.explode("set").alias("x"))
         common = shingles.groupBy("x").agg(F.count("*").alias("df")).where("df > 1").select("x")
         share = shingles.join(common, "x").groupBy("cls").agg(F.count("*").alias("s"))
-        own = own.join(share, "cls").where(f"100 * s >= {percent} * n").join(reps.select(F.col("id").alias("cls"), "four"), "cls")
-        left = own.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("s").alias("sa"), F.col("four").alias("fa"))
-        right = own.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("s").alias("sb"), F.col("four").alias("fb"))
+        own = own.join(share, "cls").where(f"100 * s >= {percent} * n").join(reps.select(F.col("id").alias("cls"), "four", "bands"), "cls")
+        left = own.select("key", "band", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("s").alias("sa"), F.col("four").alias("fa"), F.col("bands").alias("ba"))
+        right = own.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("s").alias("sb"), F.col("four").alias("fb"), F.col("bands").alias("bb"))
         bound = f"{100 + percent} * least(sa, sb) >= {percent} * (na + nb)"
-        rest = left.join(right, "key").where(f"a < b and ca <> cb and {fits} and {bound} and {_agree(bins, percent)}").select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+        once = f"band = case {' '.join(f'when ba[{i}] = bb[{i}] then {i}' for i in range(bands))} end"  # in the first band that a pair shares
+        rest = left.join(right, "key").where(f"a < b and ca <> cb and {fits} and {bound} and {once} and {_agree(bins, percent)}").select("a", "b").join(seen, ["a", "b"], "left_anti")
         new = stored(confirmed(rest), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
