@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dups, quality
+from . import decontaminate, near_dups, quality, secrets, warc
 
 
 def queries() -> dict:
     return {
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_near_duplicates": near_dups.op5_near_duplicates,
+        "op6_secret_scan": secrets.op6_secret_scan,
+        "op7_warc": warc.op7_warc,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.ORACLE}
+    return {"op4_quality_rules": quality.ORACLE, "op7_warc": warc.ORACLE}
