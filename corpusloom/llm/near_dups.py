@@ -14,13 +14,13 @@ each link is confirmed on the full sets. With 32 bands of 4 coordinates a pair a
 similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 
 Candidates of a band are not expanded to all pairs: a first round links each
-class to the smallest of its band, a second one to the largest. Pairs left
-untested after that are in one component, or in different ones; of the latter
+class to the smallest of its band, a second one to the largest and to two
+hashed picks. Pairs left untested after that are in one component, or in different ones; of the latter
 those are tested that two bounds leave open:
 * shingles that no other class of such a band has cannot be shared, so the
   intersection is at most the smaller count of the others (exact);
 * the sketches agree in at least as many coordinates as a pair at the threshold
-  does less 5.5 standard deviations (a link is lost with probability 2e-8).
+  does less 5 standard deviations (a link is lost with probability 3e-7).
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def nibbles(sketches: np.ndarray) -> np.ndarray:
 def _agree(bins: int, percent: int) -> str:
     """Condition: columns fa and fb of nibbles agree as often as a link's must."""
     p = percent / 100 + (1 - percent / 100) / 16
-    least = int(bins * p - 5.5 * (bins * p * (1 - p)) ** 0.5)
+    least = int(bins * p - 5 * (bins * p * (1 - p)) ** 0.5)
     one = "bit_count(({y} | shiftrightunsigned({y}, 2)) & 1229782938247303441L)"
     differ = [one.format(y=f"(({x}) | shiftrightunsigned({x}, 1))") for x in (f"(fa[{i}] ^ fb[{i}])" for i in range(bins // 16))]
     return f"{bins} - ({' + '.join(differ)}) >= {least}"
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("cls"))
     reps = full.join(classes.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     banded = reps.select(F.posexplode("bands").alias("band", "key"), F.col("id").alias("cls"), "n")
-    shared = banded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
+    shared = banded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.expr("min_by(cls, xxhash64(cls))").alias("p"), F.expr("max_by(cls, xxhash64(cls))").alias("q")).where("lo <> hi")
     band = stored(banded.join(shared, "key"), "bands")
     needed = band.select("cls").distinct()
     count = needed.count()
@@ -157,9 +157,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return both.where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
 
         seen = none
-        for pivot in ("lo", "hi"):
-            pairs = band.where(f"cls <> {pivot}").select(F.least("cls", pivot).alias("a"), F.greatest("cls", pivot).alias("b")).distinct()
-            if pivot == "hi":
+        for pivots in (["lo"], ["hi", "p", "q"]):
+            pairs = band.select("cls", F.explode(F.array_distinct(F.array(*pivots))).alias("pivot")).where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+            if len(pivots) > 1:
                 pairs = _apart(pairs, comp).join(seen, ["a", "b"], "left_anti")
             new = stored(confirmed(pairs.select("a", "b")), "links")
             seen = stored(seen.unionByName(pairs.select("a", "b")), "tested")
