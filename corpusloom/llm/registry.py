@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dups, quality, secrets, warc
+from . import decontaminate, huffman, near_dups, pieces, quality, secrets, warc
 
 
 def queries() -> dict:
     return {
+        "op2_token_ids": huffman.op2_token_ids,
+        "op3_sentence_pieces": pieces.op3_sentence_pieces,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_near_duplicates": near_dups.op5_near_duplicates,
         "op6_secret_scan": secrets.op6_secret_scan,
