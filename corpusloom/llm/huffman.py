@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import zlib
-from itertools import chain
+from array import array
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from .common import drop_path, scratch, slices, table, two
 
 STEP, BLOCK_IDS, LIMIT = 64, 1 << 16, 16
 #: Distinct pieces of text whose ids a worker keeps; beyond that it starts anew.
-KEPT = 400_000
+KEPT = 1_000_000
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -125,37 +127,67 @@ class Code:
 class Encoder:
     """Whole texts to ids by the tokenizers library. A byte-level pre-tokenizer always cuts before a
     single space between two other characters, so a text is the sum of its words with the space
-    in front; their ids are kept in a bounded table, and only new ones go to the library. Where
-    white space does not stand alone the stretch around it is left whole."""
+    in front; their ids are kept in a bounded table, and only new ones go to the library, many
+    to a call, strung together (each starts with such a cut) and told apart by the bytes of their
+    tokens. Where white space does not stand alone the stretch around it is left whole."""
+
+    #: White space other than space and line feed.
+    RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.tokenizer.no_padding(), self.tokenizer.no_truncation()
-
-    @staticmethod
-    def cuts(text: str) -> list[str]:
+        self.known: dict[str, bytes] = {}  # by the text after the space in front
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+
+    def cuts(self, text: str) -> list[str]:
+        """The head, and the further words without the space in front of each."""
         parts = text.split(" ")
+        if "" not in parts and " \n" not in text and "\n " not in text and not self.RARE.search(text):
+            return parts
         out = [parts[0]]
         for left, x in zip(parts, parts[1:], strict=False):
             if left and x and not left[-1].isspace() and not x[0].isspace():
-                out.append(" " + x)
+                out.append(x)
             else:
                 out[-1] += " " + x
         return out
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        odd = [x for x in new if x[-1:].isspace() or not x]
+        for x, ids in zip(odd, self._ids([" " + x for x in odd]), strict=True):
+            self.known[x] = array("I", ids).tobytes()
+        plain = [x for x in new if x and not x[-1].isspace()]
+        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
+            packed = np.array(ids, np.uint32)
+            ends = np.cumsum([len(x.encode("utf-8")) + 1 for x in group])
+            at = np.searchsorted(np.cumsum(self.width[packed]), ends, "left") + 1
+            raw, last = packed.tobytes(), 0
+            for x, e in zip(group, (at * 4).tolist(), strict=True):
+                self.known[x] = raw[last:e]
+                last = e
+
     def encode(self, texts: list[str]) -> list[bytes]:
         lists = [self.cuts(t) for t in texts]
-        every = set(chain.from_iterable(lists))
-        new = [x for x in every if x not in self.known]
+        heads = [array("I", x).tobytes() for x in self._ids([p[0] for p in lists])]
+        every = set(chain.from_iterable(p[1:] for p in lists))
+        new = every.difference(self.known)
         if len(self.known) + len(new) > self.kept:
-            self.known.clear()
-            new = list(every)
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, np.uint32).tobytes()
+            # the words met first are the frequent ones: half of the table stays
+            self.known = dict(islice(self.known.items(), self.kept // 2))
+            new = every.difference(self.known)
+        self._learn(list(new))
         get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in lists]
+        return [h + b"".join(map(get, p[1:])) for h, p in zip(heads, lists, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

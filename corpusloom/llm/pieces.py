@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import slices, table, two
 
 SPACE = "▁"
-#: Distinct cuts that a worker keeps; beyond that the table starts anew.
+#: Distinct cuts that a worker keeps; beyond that half of them stay.
 KEPT = 400_000
 
 
@@ -145,8 +145,9 @@ class Codec:
     def _learn(self, lists: list[list[str]]) -> None:
         new = [x for x in set(chain.from_iterable(lists)) if x not in self.known]
         if len(self.known) + len(new) > self.kept:
-            self.known.clear()
-            new = list(set(chain.from_iterable(lists)))
+            # the cuts met first are the frequent ones: half of the table stays
+            self.known = dict(islice(self.known.items(), self.kept // 2))
+            new = [x for x in set(chain.from_iterable(lists)) if x not in self.known]
         coded = self.plain.encode([x[1:] if x[:1] == "\0" else SPACE + x for x in new], num_threads=1)
         for x, ids in zip(new, coded, strict=True):
             self.known[x] = (np.array(ids, np.uint32).tobytes(), ",".join(map(str, ids)))
