@@ -8,8 +8,8 @@ predicts that one, so a later model never sees a probability that an earlier
 model gave to its own training row. Scoring runs the models fitted on all
 rows, in order.
 
-Words are chosen from counts over all labelled rows (a distributed aggregation): those of
-the largest association with some category, MAX_WORDS at most. The models are fitted on
+Words are chosen from counts over all labelled rows (a distributed aggregation): those that
+are most in excess in some category by likelihood ratio, MAX_WORDS at most. The models are fitted on
 at most MAX_ROWS labelled rows, the first by hash of their id; that bound
 is a parameter and all else covers all data.
 """
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, slices, split_words, table, two
+from .common import ALNUM, slices, split_words, stored, table, two
 
 #: Label column and the value that counts as positive, in chain order.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
-FOLDS, MAX_ROWS, MAX_WORDS, MIN_ROWS = 5, 20_000, 4_096, 5
+FOLDS, MAX_ROWS, MAX_WORDS, MIN_ROWS = 5, 20_000, 2_048, 5
+#: Labels that are sent to all workers (20 bytes each: under 16 MB); beyond that the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def _words_of(texts: pa.Array) -> list[np.ndarray]:
@@ -38,12 +40,23 @@ def _words_of(texts: pa.Array) -> list[np.ndarray]:
     return [names[np.unique(index[s:e])] for s, e in zip(at[:-1], at[1:], strict=True)]
 
 
-def _distinct(batches):
-    for batch in batches:
-        for part in slices(batch):
-            lists = _words_of(part.column("text"))
-            keep = [i for i, n in enumerate(part.schema.names) if n != "text"]
-            yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + [pa.array([x.tolist() for x in lists], pa.list_(pa.string()))], [part.schema.names[i] for i in keep] + ["words"])
+def _counts(labels: int):
+    """Rows that hold a word, in all and of each category, summed over a slice."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                words, at = split_words(part.column("text"), ALNUM)
+                coded = words.dictionary_encode()
+                n = len(coded.dictionary)
+                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                pair = np.unique(row * max(n, 1) + np.asarray(coded.indices, np.int64))
+                row, word = pair // max(n, 1), pair % max(n, 1)
+                y = [np.asarray(part.column(f"y{i}"), np.int64)[row] for i in range(labels)]
+                sums = [np.bincount(word, minlength=n), *(np.bincount(word[v > 0], minlength=n) for v in y)]
+                yield pa.RecordBatch.from_arrays([coded.dictionary, *(pa.array(v.astype(np.int64)) for v in sums)], ["word", "n", *(f"y{i}" for i in range(labels))])
+
+    return run
 
 
 @dataclass
@@ -59,7 +72,7 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, width: int, epochs: int = 60, rate: float = 0.3, l2: float = 1e-4) -> Logistic:
+def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, width: int, epochs: int = 150, rate: float = 0.3, l2: float = 1e-4) -> Logistic:
     """Full-batch AdaGrad on the class-balanced logistic loss; deterministic."""
     n, n_extra = len(rows), extra.shape[1]
     model = Logistic(np.zeros(width), np.zeros(n_extra), 0.0)
@@ -120,7 +133,7 @@ def train_chain(rows: list[np.ndarray], fold: np.ndarray, labels: np.ndarray, na
         f1 = 2 * hit / (np.arange(1, len(y) + 1) + max(y.sum(), 1)) if len(y) else np.zeros(1)
         best = int(np.argmax(f1))
         low, high = (p[order[best]], p[order[best + 1]] if best + 1 < len(p) else 0.0) if len(p) else (1.0, 1.0)
-        cuts.append(max(0.5, float((low + high) / 2)))
+        cuts.append(max(0.2, float((low + high) / 2)))
         oof = np.column_stack((oof, p))
     return Chain(list(names), words, models, cuts)
 
@@ -131,30 +144,32 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "do
     names = [n for n, _, _ in chain]
     gold = labels.select(labels[id_col].cast("long").alias("id"), *[(labels[c] == v).cast("int").alias(f"y{i}") for i, (_, c, v) in enumerate(chain)]).dropna()
     gold = gold.groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(chain))])
-    text = two(docs, id_col, text_col)
-    schema = "id long, " + "".join(f"y{i} int, " for i in range(len(chain))) + "words array<string>"
-    seen = text.join(gold, "id").select("id", *[f"y{i}" for i in range(len(chain))], "text").mapInArrow(_distinct, schema)
+    n_gold = gold.count()
+    gold = F.broadcast(gold) if n_gold <= BROADCAST_ROWS else gold
+    labelled = two(docs, id_col, text_col).join(gold, "id").select("id", *[f"y{i}" for i in range(len(chain))], "text")
     sums = [F.sum(f"y{i}").alias(f"p{i}") for i in range(len(chain))]
-    totals = gold.agg(F.count("*").alias("n"), *sums).first()
+    totals = labelled.agg(F.count("*").alias("n"), *sums).first()
     n = totals["n"] or 0
-    per = seen.select(F.explode("words").alias("word"), *[f"y{i}" for i in range(len(chain))]).groupBy("word").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= MIN_ROWS)
+    counted = labelled.mapInArrow(_counts(len(chain)), "word string, n long" + "".join(f", y{i} long" for i in range(len(chain))))
+    per = stored(counted.groupBy("word").agg(F.sum("n").alias("n"), *sums).where(F.col("n") >= MIN_ROWS), "words")
     kept: dict[str, int] = {}
     for i in range(len(chain)):
         p = totals[f"p{i}"] or 0
-        # a standardised log odds ratio with add-half counts
-        a, b, c, d = F.col(f"p{i}") + 0.5, F.col("n") - F.col(f"p{i}") + 0.5, p - F.col(f"p{i}") + 0.5, n - p - F.col("n") + F.col(f"p{i}") + 0.5
-        z = F.abs(F.log(a * d / (b * c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
-        for r in per.select("word", z.alias("z")).orderBy(F.desc("z"), "word").limit(max_words // len(chain)).collect():
+        # the likelihood ratio of the word's rows, where it is more common than elsewhere
+        o, e = F.col(f"p{i}") + 0.5, F.col("n") * ((p + 0.5) / (n + 1.0)) + 0.5
+        z = F.when(o > e, o * F.log(o / e)).otherwise(0.0)
+        for r in per.select("word", z.alias("z")).where("z >= 6").orderBy(F.desc("z"), "word").limit(max_words // len(chain)).collect():
             kept.setdefault(r.word, len(kept))
-    some = seen.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     words = kept
+    picked = F.broadcast(gold.select("id").orderBy(F.xxhash64("id"), "id").limit(max_rows))
 
     def indexed(batches):
         for batch in batches:
-            lists = [sorted(i for w in x if (i := words.get(w)) is not None) for x in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(batch.num_columns - 1)), pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names[:-1], "at"])
+            for part in slices(batch):
+                lists = [sorted(i for w in x if (i := words.get(w)) is not None) for x in _words_of(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(part.num_columns - 1)), pa.array(lists, pa.list_(pa.int32()))], [*part.schema.names[:-1], "at"])
 
-    got = some.mapInArrow(indexed, schema.replace("words array<string>", "at array<int>")).toPandas().sort_values("id")
+    got = labelled.join(picked, "id", "left_semi").mapInArrow(indexed, "id long, " + "".join(f"y{i} int, " for i in range(len(chain))) + "at array<int>").toPandas().sort_values("id")
     rows = [np.array(x, np.int64) for x in got["at"]]
     fold = np.array([((int(i) * 2654435761) >> 7 & 0xFFFF) % folds for i in got["id"]], np.int64)
     y = got[[f"y{i}" for i in range(len(chain))]].to_numpy(np.int64).reshape(len(rows), len(chain))
