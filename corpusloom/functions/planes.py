@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The alphabet, variants of letters, marks by class, stops by class.
 ALPHABET = "αβγδεζηθικλμνξοπρστυφχψω"
@@ -96,11 +97,11 @@ def decode(p: Planes, marks: bool = True) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-PLANES = "chars array<tinyint>, boundary array<tinyint>, dia array<tinyint>, cap array<tinyint>, punct array<tinyint>"
+FIELDS = ("chars", "boundary", "dia", "cap", "punct")
 
 
-@F.pandas_udf(f"struct<{PLANES.replace(' array', ': array')}>")
+@F.pandas_udf(T.StructType([T.StructField(f, T.ArrayType(T.ByteType())) for f in FIELDS]))
 def planes(text: pd.Series) -> pd.DataFrame:
     """Planes of each text, null arrays where it is rejected."""
     found = [encode(t) for t in text]
-    return pd.DataFrame({f: [getattr(p, f) if p else None for p in found] for f in ("chars", "boundary", "dia", "cap", "punct")})
+    return pd.DataFrame({f: [getattr(p, f) if p else None for p in found] for f in FIELDS})

@@ -8,6 +8,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cer(gold: Column, pred: Column) -> Column:
@@ -66,7 +67,7 @@ def two_proportions(k1: int, n1: int, k2: int, n2: int) -> tuple[float, float]:
     return z, math.erfc(abs(z) / math.sqrt(2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity_error(gold: pd.Series, pred: pd.Series) -> pd.Series:
     """1 less the matching-blocks ratio of two strings, the second cut to the first's length."""
     return pd.Series([1.0 if g is None or p is None else 1 - difflib.SequenceMatcher(None, g, p[: len(g)], autojunk=False).ratio() for g, p in zip(gold, pred, strict=True)])

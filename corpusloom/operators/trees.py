@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COLUMNS = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc")
 
@@ -54,7 +55,7 @@ def apply_script(form: str, script: tuple[int, str, int, str]) -> str:
     return add + form[front : len(form) - back] + more
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def script_of(form: pd.Series, lemma: pd.Series) -> pd.Series:
     return pd.Series([None if f is None or m is None else "%d|%s|%d|%s" % edit_script(form_key(f), form_key(m)) for f, m in zip(form, lemma, strict=True)])
 

@@ -416,11 +416,12 @@ def label_scores(spark, d):
     return s.select("source", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "balanced_accuracy")])
 
 
-_TURNS = "select a.conv_id, a.turn, substr(a.text, 1, 40) as gold, substr(b.text, 1, 40) as pred, a.turn % 3 as band from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1"
+_TURNS = "select a.conv_id, a.turn, regexp_replace(substr(a.text, 1, 40), '[^ -~]', '?', 'g') as gold, regexp_replace(substr(b.text, 1, 40), '[^ -~]', '?', 'g') as pred, a.turn % 3 as band from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1"
 
 
 def _turns(spark, d):
     c = table(spark, d, "conversations")
+    c = c.withColumn("text", F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "?"))  # engines differ on bytes and letters
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.substring("text", 1, 40).alias("pred"))
     return c.select("conv_id", "turn", F.substring("text", 1, 40).alias("gold"), (F.col("turn") % 3).alias("band")).join(nxt, ["conv_id", "turn"])
 
