@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import slices, table, two
 
 SPACE = "▁"
+#: Marks a cut without a space in front; a lone surrogate is in no text.
+BARE = "\udc00"
 #: Distinct cuts that a worker keeps; beyond that half of them stay.
 KEPT = 400_000
 
@@ -140,7 +142,7 @@ class Codec:
             return parts, None
         text, source = self.normalise(text)
         parts = re.findall(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+", text)
-        return [x[1:] if x[0] == SPACE else "\0" + x for x in parts], source
+        return [x[1:] if x[0] == SPACE else BARE + x for x in parts], source
 
     def _learn(self, lists: list[list[str]]) -> None:
         new = [x for x in set(chain.from_iterable(lists)) if x not in self.known]
@@ -148,7 +150,7 @@ class Codec:
             # the cuts met first are the frequent ones: half of the table stays
             self.known = dict(islice(self.known.items(), self.kept // 2))
             new = [x for x in set(chain.from_iterable(lists)) if x not in self.known]
-        coded = self.plain.encode([x[1:] if x[:1] == "\0" else SPACE + x for x in new], num_threads=1)
+        coded = self.plain.encode([x[1:] if x[:1] == BARE else SPACE + x for x in new], num_threads=1)
         for x, ids in zip(new, coded, strict=True):
             self.known[x] = (np.array(ids, np.uint32).tobytes(), ",".join(map(str, ids)))
 

@@ -168,9 +168,10 @@ class LoserTree:
 
 def _merge(batches):
     """A range's slices of all runs, which arrive run after run, each sorted."""
-    part = pa.Table.from_batches(list(batches))
-    if not part.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    part = pa.Table.from_batches(held)
     names, keys, stamps, pages = (part.column(c).to_pylist() for c in ("run", "urlkey", "ts", "page_id"))
     starts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
     order = list(LoserTree([range(a, b) for a, b in zip(starts[:-1], starts[1:], strict=True)], lambda i: (keys[i], stamps[i], pages[i])))
