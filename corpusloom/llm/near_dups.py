@@ -14,8 +14,8 @@ each link is confirmed on the full sets. With 32 bands of 4 coordinates a pair a
 similarity 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 
 Candidates of a band are not expanded to all pairs: a first round links each
-class to the smallest of its band, a second one to the largest and to two
-hashed picks. Pairs left untested after that are in one component, or in different ones; of the latter
+class to the smallest of its band, a second one to the largest and to a
+hashed pick, where they meet in two bands. Pairs left untested after that are in one component, or in different ones; of the latter
 those are tested that two bounds leave open:
 * shingles that no other class of such a band has cannot be shared, so the
   intersection is at most the smaller count of the others (exact);
@@ -34,7 +34,7 @@ from .common import WORDS, bitmap_slot, hashed_words, id_bitmap, in_bitmap, mix,
 from .components import connected_components
 
 #: Words of a shingle, similarity in hundredths, coordinates, bands and coordinates of a band.
-SHINGLE, PERCENT, BINS, BANDS, ROWS = 5, 80, 256, 32, 4
+SHINGLE, PERCENT, BINS, BANDS, ROWS = 5, 80, 512, 32, 4
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = full.groupBy("n", "d1", "d2").agg(F.min("id").alias("cls"))
     reps = full.join(classes.select(F.col("cls").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     banded = reps.select(F.posexplode("bands").alias("band", "key"), F.col("id").alias("cls"), "n")
-    shared = banded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.expr("min_by(cls, xxhash64(cls))").alias("p"), F.expr("max_by(cls, xxhash64(cls))").alias("q")).where("lo <> hi")
+    shared = banded.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.expr("min_by(cls, xxhash64(cls))").alias("p")).where("lo <> hi")
     band = stored(banded.join(shared, "key"), "bands")
     needed = band.select("cls").distinct()
     count = needed.count()
@@ -157,8 +157,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return both.where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
 
         seen = none
-        for pivots in (["lo"], ["hi", "p", "q"]):
-            pairs = band.select("cls", F.explode(F.array_distinct(F.array(*pivots))).alias("pivot")).where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+        for pivots in (["lo"], ["hi", "p"]):
+            pairs = band.select("cls", F.explode(F.array_distinct(F.array(*pivots))).alias("pivot")).where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k")).where("k > 1").select("a", "b")
             if len(pivots) > 1:
                 pairs = _apart(pairs, comp).join(seen, ["a", "b"], "left_anti")
             new = stored(confirmed(pairs.select("a", "b")), "links")
