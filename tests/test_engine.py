@@ -56,7 +56,7 @@ def test_sentences_and_ngrams(spark):
 def test_planted_probes(spark):
     quote = "sing goddess the wrath of achilles son of peleus the ruinous wrath"
     held = spark.createDataFrame([(1, quote + ".")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "Clean filler text here. " + quote + ". More clean filler."), (2, "Peleus the ruinous wrath sing goddess wrath the of achilles son of the."), (3, "nothing to see")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Clean filler text here. " + quote + ". More clean filler."), (2, "Peleus the ruinous wrath sing goddess wrath the of achilles son of."), (3, "nothing to see")], "doc_id long, text string")
     assert {r.doc_id for r in decontam.gram_hits(docs, held).collect()} == {1}
     assert {r.doc_id for r in decontam.sentence_hits(docs, held, bag=True).collect()} == {1, 2}
     left = {(r.doc_id, r.seg): r.text for r in decontam.clean_runs(docs, held, least=5).collect()}
@@ -114,7 +114,7 @@ def test_conllu_round_trip(spark, tmp_path):
     src.write_text("# id = 1\n1\tA\ta\tX\t_\t_\t0\troot\t_\t_\n1-2\tAB\t_\t_\t_\t_\t_\t_\t_\t_\n\n1\tB\tb\tY\t_\t_\t0\troot\t_\t_\n")
     out = str(tmp_path / "out")
     trees.write_conllu(trees.read_conllu(spark, str(src)), out)
-    text = "\n".join(r.value for r in spark.read.text(out).collect())
+    text = "".join(f.read_text() for f in sorted((tmp_path / "out").glob("part-*")))
     assert text.strip() == src.read_text().strip()
 
 
