@@ -15,7 +15,7 @@ COLUMNS = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "de
 
 def read_conllu(spark: SparkSession, path: str) -> DataFrame:
     """(file, sent, line, comment, id, form, ..., misc): every line in place, comments and ranges too."""
-    blocks = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\n\s*\n")).alias("sent", "block"))
+    blocks = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\n\s*\n")).alias("sent", "block"))
     lines = blocks.select("file", "sent", F.posexplode(F.split("block", "\n")).alias("line", "text"))
     cells = F.split("text", "\t")
     note = F.startswith("text", F.lit("#"))

@@ -34,7 +34,7 @@ def id_lookup(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def xml_records(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(groups): captures of a pattern in whole files."""
-    return spark.read.option("wholetext", True).text(path).select(F.explode(F.regexp_extract_all("value", F.lit(pattern), 0)).alias("record"))
+    return spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(pattern), 0)).alias("record"))
 
 
 def write_folds(df: DataFrame, path: str) -> None:
