@@ -17,7 +17,7 @@ import os
 import re
 import zlib
 from array import array
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -129,27 +129,35 @@ class Encoder:
     single space between two other characters, so a text is the sum of its words with the space
     in front; their ids are kept in a bounded table, and only new ones go to the library, many
     to a call, strung together (each starts with such a cut) and told apart by the bytes of their
-    tokens. Where white space does not stand alone the stretch around it is left whole."""
+    tokens. Where white space does not stand alone the stretch around it is left whole. Words of many texts are
+    numbered at once, so the table is asked once a distinct word, and their ids are gathered."""
 
     #: White space other than space and line feed.
     RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    #: Marks the head of a text, which has no space in front; a lone surrogate is in no text.
+    HEAD = "\udc00"
 
     def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.tokenizer.no_padding(), self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}  # by the text after the space in front
+        #: place of a word in `ends`, in the order met; ids of word k are ids[ends[k]:ends[k + 1]]
+        self.known: dict[str, int] = {}
+        self.ends, self.ids = array("q", [0]), array("I")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
 
-    def cuts(self, text: str) -> list[str]:
+    def spaced(self, text: str) -> bool:
+        """White space in the text stands alone, between two other characters."""
+        return not (text[:1] in ("", " ") or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or self.RARE.search(text))
+
+    @staticmethod
+    def cuts(text: str) -> list[str]:
         """The head, and the further words without the space in front of each."""
         parts = text.split(" ")
-        if "" not in parts and " \n" not in text and "\n " not in text and not self.RARE.search(text):
-            return parts
         out = [parts[0]]
         for left, x in zip(parts, parts[1:], strict=False):
             if left and x and not left[-1].isspace() and not x[0].isspace():
@@ -161,33 +169,68 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        odd = [x for x in new if x[-1:].isspace() or not x]
-        for x, ids in zip(odd, self._ids([" " + x for x in odd]), strict=True):
-            self.known[x] = array("I", ids).tobytes()
-        plain = [x for x in new if x and not x[-1].isspace()]
+    def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.ends.frombytes((ends.astype(np.int64) + len(self.ids)).tobytes())
+        self.ids.frombytes(ids.astype(np.uint32, copy=False).tobytes())
+
+    def _learn(self, words: list[str], heads: list[str]) -> None:
+        heads = [x for x in dict.fromkeys(heads) if self.HEAD + x not in self.known]
+        plain, odd = [], []
+        for x in words:
+            (odd if x[-1:].isspace() or not x else plain).append(x)
+        alone = self._ids([" " + x for x in odd] + heads)
+        self._add(odd + [self.HEAD + x for x in heads], np.fromiter(chain.from_iterable(alone), np.uint32), np.cumsum([len(x) for x in alone]))
         groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
         for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
             packed = np.array(ids, np.uint32)
-            ends = np.cumsum([len(x.encode("utf-8")) + 1 for x in group])
-            at = np.searchsorted(np.cumsum(self.width[packed]), ends, "left") + 1
-            raw, last = packed.tobytes(), 0
-            for x, e in zip(group, (at * 4).tolist(), strict=True):
-                self.known[x] = raw[last:e]
-                last = e
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lists = [self.cuts(t) for t in texts]
-        heads = [array("I", x).tobytes() for x in self._ids([p[0] for p in lists])]
-        every = set(chain.from_iterable(p[1:] for p in lists))
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > self.kept:
+            ends = np.cumsum(np.asarray(pc.binary_length(pa.array(group, pa.string())), np.int64) + 1)
+            self._add(group, packed, np.searchsorted(np.cumsum(self.width[packed]), ends, "left") + 1)
+
+    def _places(self, words: np.ndarray, heads: list[str]) -> np.ndarray:
+        """Places of words in the table, where heads are then found too; those that are new are learnt."""
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(self.known) + np.count_nonzero(place < 0) + len(heads) > self.kept or len(self.ids) > 8 * self.kept:
             # the words met first are the frequent ones: half of the table stays
-            self.known = dict(islice(self.known.items(), self.kept // 2))
-            new = every.difference(self.known)
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [h + b"".join(map(get, p[1:])) for h, p in zip(heads, lists, strict=True)]
+            half = min(self.kept, len(self.known)) // 2
+            while half and self.ends[half] > 4 * self.kept:
+                half //= 2
+            self.known = dict(islice(self.known.items(), half))
+            del self.ids[self.ends[half] :], self.ends[half + 1 :]
+            place[place >= half] = -1
+        new = np.flatnonzero(place < 0)
+        missing = words[new].tolist()
+        self._learn(missing, heads)
+        place[new] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
+        return place
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        good = [self.spaced(t) for t in texts]
+        # texts that Arrow can split come first, the others after them
+        order = [i for i, g in enumerate(good) if g] + [i for i, g in enumerate(good) if not g]
+        lists = [pc.split_pattern(pa.array([t for t, g in zip(texts, good, strict=True) if g], pa.string()), " "), pa.array([self.cuts(t) for t, g in zip(texts, good, strict=True) if not g], pa.list_(pa.string()))]
+        at = np.concatenate(([0], np.cumsum(np.concatenate([np.asarray(pc.list_value_length(x), np.int64) for x in lists]))))
+        coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        number, words = np.asarray(coded.indices, np.int64), coded.dictionary.to_numpy(zero_copy_only=False)
+        inner = np.ones(len(number), bool)
+        inner[at[:-1]] = False
+        asked = np.flatnonzero(np.bincount(number[inner], minlength=len(words)))
+        heads = words[number[at[:-1]]].tolist()
+        place = np.zeros(len(words), np.int64)
+        place[asked] = self._places(words[asked], heads)
+        k = place[number]
+        k[at[:-1]] = [self.known[self.HEAD + x] for x in heads]
+        ends = np.frombuffer(self.ends, np.int64)
+        start, n = ends[k], ends[k + 1] - ends[k]
+        last = np.cumsum(n)
+        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(start - (last - n), n) + np.arange(last[-1])] if len(self.ids) else np.empty(0, np.uint32)
+        del ends  # the tables cannot grow while a view of them is held
+        out: list[np.ndarray] = [ids] * len(texts)
+        for i, x in zip(order, np.split(ids, last[at[1:-1] - 1]), strict=True):
+            out[i] = x
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -200,7 +243,7 @@ def default_tokenizer() -> str:
 
 
 def _encode(path: str, end: int | None):
-    tail = b"" if end is None else np.uint32(end).tobytes()
+    tail = np.array([] if end is None else [end], np.uint32)
 
     def run(batches):
         from pyspark import TaskContext
@@ -210,8 +253,8 @@ def _encode(path: str, end: int | None):
             _ENCODERS[path] = Encoder(path)
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in slices(batch):
-                ids = [np.frombuffer(x + tail, np.uint32) for x in _ENCODERS[path].encode(pc.fill_null(piece.column("text"), "").to_pylist())]
+            for piece in slices(batch, rows=1 << 14):
+                ids = [np.concatenate((x, tail)) for x in _ENCODERS[path].encode(pc.fill_null(piece.column("text"), "").to_pylist())]
                 packed = [(b"\2" + x.astype(np.uint16).tobytes()) if not len(x) or x.max() < 1 << 16 else b"\4" + x.tobytes() for x in ids]
                 n = np.array([len(x) for x in ids], np.int64)
                 before = at + np.cumsum(n) - n
