@@ -270,12 +270,22 @@ def _unpacked(x: pa.Scalar) -> np.ndarray:
 
 
 def _count(batches):
-    total = np.zeros(0, np.int64)
+    total, held = np.zeros(0, np.int64), [np.zeros(0, np.uint16)]
+
+    def add() -> np.ndarray:
+        c = np.bincount(np.concatenate(held), minlength=len(total))
+        c[: len(total)] += total
+        del held[1:]
+        return c
+
+    n = 0
     for batch in batches:
         for x in batch.column("ids"):
-            c = np.bincount(_unpacked(x), minlength=len(total))
-            c[: len(total)] += total
-            total = c
+            held.append(_unpacked(x))
+            n += len(held[-1])
+            if n >= 1 << 20:
+                total, n = add(), 0
+    total = add()
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
