@@ -1,7 +1,9 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows."""
 
+import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -315,6 +317,35 @@ def test_cross_entropy(spark, none):
     assert language_models.cross_entropy_difference(none, none.select("doc_id")).count() == 0
 
 
+def test_cross_entropy_counts_each_bigram_exactly(spark, monkeypatch):
+    rnd = random.Random(12)
+    names = [f"w{i}" for i in range(700)]
+    rows = [(i, " ".join(rnd.choice(names) for _ in range(rnd.choice((0, 1, 150))))) for i in range(600)] + [(None, "w1 w2 w3"), (7, "w4 W5 w4"), (900, None)]
+    good = set(range(0, 600, 2))
+    words = [(t or "").lower().split() for _, t in rows]
+    marks = [i in good for i, _ in rows]
+    target = collections.Counter(w for ws, g in zip(words, marks, strict=True) if g for w in ws)
+    known = {w for w, n in target.items() if n >= 5}
+    words = [[w if w in known else "?" for w in ws] for ws in words]
+    want = []
+    for chosen in (marks, [True] * len(rows)):
+        one, two, before = collections.Counter(), collections.Counter(), collections.Counter()
+        for ws, g in zip(words, chosen, strict=True):
+            if g:
+                one.update(ws), two.update(zip(["^", *ws], ws)), before.update(["^", *ws][:-1] if ws else [])
+        total, size = sum(one.values()), len(known) + 1
+        base = lambda w: (one[w] + 1) / (total + size)  # noqa: E731, B023
+        bits = lambda a, w: -math.log2(0.6 * two[a, w] / before[a] + 0.4 * base(w) if before[a] else base(w))  # noqa: E731, B023
+        want.append([sum(bits(a, w) for a, w in zip(["^", *ws], ws)) / len(ws) if ws else None for ws in words])
+    monkeypatch.setattr(language_models, "RANGE", 3_000, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = language_models.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert len(got) == len(rows)
+    for r, (i, n, t, b) in zip(sorted(got, key=key), sorted(((i, len(w), t, b) for (i, _), w, t, b in zip(rows, words, *want, strict=True)), key=key), strict=True):
+        assert (r.id, r.n_tokens) == (i, n) and (r.score is None if t is None else abs(r.target_bits - t) < 1e-9 and abs(r.background_bits - b) < 1e-9)
+
+
 def test_words_are_those_of_the_contract():
     h, at = hashed_words(pa.array(["A\xa0b  C\x0b", None, "", "\n"]), WORDS)
     assert at.tolist() == [0, 2, 2, 2, 2] and h[0] != h[1]
