@@ -5,7 +5,9 @@ w = window - k + 1 consecutive k-grams the least hash is kept (the rightmost of
 equal ones), so any shared span of `window` words contains a kept k-gram that is
 the same on both sides. Documents' fingerprints are joined with the benchmark's,
 and each hit is extended to the left and right while the words agree; a
-stretch of at least `window` words is a leak. Items of fewer words than `window`
+stretch of at least `window` words is a leak. A run of equal k-grams (one word many times) is
+one fingerprint on both sides: two runs are laid with their starts and with their ends together, and
+any other way they share no more than the shorter one, which then lies in the longer one. Items of fewer words than `window`
 are one fingerprint each, of their whole length, looked up at every document
 position of that length.
 
@@ -43,35 +45,36 @@ def winnow(grams: np.ndarray, w: int) -> np.ndarray:
     return np.unique(at)
 
 
-def _run_ends(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Positions, where those inside a run of equal k-grams are replaced by the run's
-    two ends: a word that is repeated thousands of times has two positions, and any stretch
-    through the run still starts from one of them or lies in it."""
+def runs(grams: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last position of the run of equal k-grams that each position lies in; a run stays within one
+    text, whose number is `own`."""
     i = np.arange(len(grams))
-    new = np.concatenate(([True], grams[1:] != grams[:-1]))
-    first = np.maximum.accumulate(np.where(new, i, 0))
-    last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(grams) - 1]))[np.cumsum(new) - 1]
-    return np.unique(np.concatenate((first[at], last[at])))
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])
+    starts = np.flatnonzero(new)
+    return np.maximum.accumulate(np.where(new, i, 0)), np.append(starts[1:] - 1, len(grams) - 1)[np.cumsum(new) - 1]
 
 
 class Block:
-    """Fingerprints of some items: sorted hashes with item and position."""
+    """Fingerprints of some items: sorted hashes with item, and first and last position of the run of equal k-grams."""
 
     def __init__(self, ids: list[int], words: np.ndarray, at: np.ndarray, window: int, k: int):
         self.ids, self.words, self.at, self.window, self.k = np.array(ids, np.int64), words, at, window, k
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         grams = window_hashes(words, k)
-        keys, items, places, short = [], [], [], {}
+        keys, items, places, lasts, short = [], [], [], [], {}
         for i, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)):
             if e - s >= window:
-                p = _run_ends(grams[s : e - k + 1], winnow(grams[s : e - k + 1], window - k + 1)) + s
-                keys.append(grams[p]), items.append(np.full(len(p), i)), places.append(p)
+                own = grams[s : e - k + 1]
+                first, last = runs(own, np.zeros(len(own), bool))
+                p = np.unique(first[winnow(own, window - k + 1)])
+                keys.append(own[p]), items.append(np.full(len(p), i)), places.append(p + s), lasts.append(last[p] + s)
             elif e > s:
                 short.setdefault(int(e - s), []).append((window_hashes(words[s:e], int(e - s))[0], i))
         join = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-        keys, items, places = join(keys, np.uint64), join(items, np.int64), join(places, np.int64)
+        keys, items, places, lasts = join(keys, np.uint64), join(items, np.int64), join(places, np.int64), join(lasts, np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.items, self.places = keys[order], items[order], places[order]
+        self.keys, self.items, self.places, self.lasts = keys[order], items[order], places[order], lasts[order]
         for n, pairs in short.items():
             pairs.sort()
             self.short[n] = (np.array([x for x, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64))
@@ -111,19 +114,27 @@ def scan(texts: pa.Array, block: Block) -> list[tuple[int, list[tuple[int, int]]
         if len(grams) >= w:
             kept[winnow(grams, w)] = True
         kept[len(grams) :] = False
-        p = np.flatnonzero(kept)
-        p = p[p + k <= at[doc[p] + 1]]
+        inside = np.arange(len(grams)) + k <= at[doc[: len(grams)] + 1]
+        first, last = runs(grams, np.where(inside, doc[: len(grams)], -1)) if len(grams) else (inside, inside)
+        p = np.unique(first[np.flatnonzero(kept[: len(grams)] & inside)])
         who, found = _matches(block.keys, grams[p])
-        done: dict[tuple[int, int], int] = {}
+        done: dict[tuple[int, int], tuple[int, int]] = {}
         for x, f in zip(p[who].tolist(), found.tolist(), strict=True):
-            d, i, q = int(doc[x]), int(block.items[f]), int(block.places[f])
-            if done.get((d * len(block.ids) + i, x - q), -1) >= x + k:
-                continue
-            a, b = _extend(h, int(at[d]), int(at[d + 1]), x, block.words, int(block.at[i]), int(block.at[i + 1]), q, k)
-            done[d * len(block.ids) + i, x - q] = b
-            if b - a >= window:
-                spans[d].append((a - int(at[d]), b - int(at[d])))
+            d, i = int(doc[x]), int(block.items[f])
+            y, q, r = int(last[x]), int(block.places[f]), int(block.lasts[f])
+            # runs of one word: where neither their starts nor their ends meet, the shorter one bounds the stretch
+            if min(y - x, r - q) + k >= window and h[x] == block.words[q]:
+                spans[d].append((x - int(at[d]), y + k - int(at[d])))
                 items[d].add(int(block.ids[i]))
+            for x, q in ((x, q), (y, r)) if (y, r) != (x, q) else ((x, q),):  # noqa: PLW2901
+                lo, hi = done.get((d * len(block.ids) + i, x - q), (0, -1))
+                if lo <= x and x + k <= hi:
+                    continue
+                a, b = _extend(h, int(at[d]), int(at[d + 1]), x, block.words, int(block.at[i]), int(block.at[i + 1]), q, k)
+                done[d * len(block.ids) + i, x - q] = a, b
+                if b - a >= window:
+                    spans[d].append((a - int(at[d]), b - int(at[d])))
+                    items[d].add(int(block.ids[i]))
     for n, (keys, owners) in block.short.items():
         grams = window_hashes(h, n)
         inside = np.flatnonzero(np.arange(len(grams)) + n <= at[doc[: len(grams)] + 1])

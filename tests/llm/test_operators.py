@@ -137,6 +137,27 @@ def test_decontamination(spark, docs, block_words):
     assert decontaminate.leaks(docs, spark.createDataFrame([], "item_id long, text string")).where("size(hits) > 0").count() == 0
 
 
+def test_runs_of_unequal_length_against_brute_force():
+    rnd = random.Random(4)
+    found = 0
+    for _ in range(400):
+        run, (head, tail) = f"a{rnd.randrange(1000)}", ([f"{c}{j}" for j in range(rnd.randrange(4))] for c in "xy")
+        side = lambda: [*(f"o{rnd.randrange(9)}" for _ in range(rnd.randrange(3))), *head, *[run] * rnd.randrange(4, 25), *tail, *(f"o{rnd.randrange(9)}" for _ in range(rnd.randrange(12)))]  # noqa: E731, B023
+        many = lambda: [w for _ in range(rnd.randrange(1, 5)) for w in [run] * rnd.randrange(1, 14) + [rnd.choice("bc")]]  # noqa: E731, B023
+        item = rnd.choice((side, many))()
+        docs = [side() for _ in range(4)] + [many() for _ in range(3)] + [[run] * rnd.randrange(20)]
+        block = decontaminate.Block([1], *hashed_words(pa.array([" ".join(item)]), decontaminate.ALNUM), 10, 5)
+        for w, (n, spans, _) in zip(docs, decontaminate.scan(pa.array([" ".join(w) for w in docs]), block), strict=True):
+            hit, _ = brute_hits(w, {1: item})
+            found += bool(hit)
+            assert n == len(w) and {p for s, e in spans for p in range(s, e)} == hit, (item, w)
+    assert found > 500
+    for j in range(30):
+        item, doc = "x y " + f"a{j} " * 20, "n m x y " + f"a{j} " * 8 + "u v"
+        block = decontaminate.Block([1], *hashed_words(pa.array([item]), decontaminate.ALNUM), 10, 5)
+        assert decontaminate.scan(pa.array([doc]), block) == [(14, [(2, 12)], [1])]
+
+
 def test_winnowing_keeps_one_of_each_window():
     rnd = np.random.default_rng(1)
     g = rnd.integers(0, 6, 500).astype(np.uint64)
