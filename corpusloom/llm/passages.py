@@ -2,8 +2,10 @@
 
 A text is cut into lines or paragraphs, and these at sentence ends, so that a passage put in
 the middle of a line is seen too. Units are normalised (lower case A-Z, words joined by one space)
-and digested. A unit of fewer than `least` words is digested with the words before it in the
-text up to that number, so common short sentences count only in the same surroundings. Digests are grouped
+and digested, and so are whole lines. A unit of fewer than `least` words is digested with the words before it in the
+text up to that number, so common short sentences count only in the same surroundings; near the start of
+a text, where there are too few, it is digested alone, as a whole line of so few words is. Those short ones
+go if an earlier document holds them, but may be repeated inside a document. Digests are grouped
 over all documents; the occurrence that ranks first (least id, then place) stays, all others
 are removed. Ranges removed and kept keep their code points in the original text.
 
@@ -40,17 +42,31 @@ def units(text: str, level: str = "line", sentences: bool = True) -> list[tuple[
     return out
 
 
-def digests(text: str, spans: list[tuple[int, int]], least: int) -> list[tuple[int, int, int, int]]:
-    """(start, end, digest high, digest low) of the units that have words."""
+def _digest(words: list[bytes], mark: bytes = b"") -> tuple[int, int]:
+    x = xxhash.xxh3_128_intdigest(b" ".join(words) + mark)
+    return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
+
+
+def digests(text: str, level: str, sentences: bool, least: int) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, digest high, digest low, short) of the units and whole lines that have words; short: fewer than `least` words,
+    digested alone. A line is left out where its only unit has the same digest."""
     out, before = [], []
-    for s, e in spans:
-        words = text[s:e].encode("utf-8").lower().split()
-        if words:
-            own = words if len(words) >= least else before[-(least - len(words)) :] + words
-            before = (before + words)[-least:] if len(words) < least else words[-least:]
-            if len(own) >= least or len(own) == len(words):
-                x = xxhash.xxh3_128_intdigest(b" ".join(own) + (b"" if own is words else b"\0%d" % len(words)))
-                out.append((s, e, (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)))
+    for m in (_LINE if level == "line" else _PARAGRAPH).finditer(text):
+        whole: list[bytes] = []
+        alone = worded = 0
+        for s, e in units(m.group(), level, sentences):
+            words = m.group()[s:e].encode("utf-8").lower().split()
+            if words:
+                own = before[-(least - len(words)) :] + words if len(words) < least else words
+                before = (before + words)[-least:] if len(words) < least else words[-least:]
+                short = len(own) < least
+                mark = b"" if own is words else b"\0%d" % len(words)
+                out.append((m.start() + s, m.start() + e, *_digest(words if short else own, mark), short))
+                whole += words
+                worded, alone = worded + 1, short or own is words
+        if worded > 1 or worded and not alone:
+            short = len(whole) < least
+            out.append((*m.span(), *_digest(whole, b"\0%d" % len(whole) if short else b""), short))
     return out
 
 
@@ -59,11 +75,11 @@ def _units(level: str, sentences: bool, least: int):
         for batch in batches:
             for part in slices(batch):
                 texts = pc.fill_null(part.column("text"), "").to_pylist()
-                found = [digests(t, units(t, level, sentences), least) for t in texts]
+                found = [digests(t, level, sentences, least) for t in texts]
                 n = [len(x) for x in found]
-                flat = np.array([u for x in found for u in x], np.int64).reshape(-1, 4)
+                flat = np.array([u for x in found for u in x], np.int64).reshape(-1, 5)
                 ids = np.repeat(np.asarray(part.column("id").to_numpy(zero_copy_only=False)), n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(flat[:, i].copy()) for i in range(4))], ["id", "s", "e", "h", "l"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(flat[:, i].copy()) for i in range(4)), pa.array(flat[:, 4] == 1)], ["id", "s", "e", "h", "l", "short"])
 
     return run
 
@@ -71,14 +87,15 @@ def _units(level: str, sentences: bool, least: int):
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: str = "line", sentences: bool = True, least: int = LEAST) -> DataFrame:
     """(id, start, end, first_id, first_start) of each unit that occurred before, in code points.
 
+    A line that occurred before and its units that did are a row each, so ranges may lie in one another.
     Units without words are left alone. Null and empty texts have no units. Rows with a
     null id, and rows that repeat an id, count by id: equal places of one id are one
     occurrence, so repeated rows do not remove each other.
     """
-    u = two(docs, id_col, text_col).where("id is not null").mapInArrow(_units(level, sentences, least), "id long, s long, e long, h long, l long")
+    u = two(docs, id_col, text_col).where("id is not null").mapInArrow(_units(level, sentences, least), "id long, s long, e long, h long, l long, short boolean")
     u = stored(u, "units")
     first = u.groupBy("h", "l").agg(F.min(F.struct("id", "s")).alias("f"), F.max(F.struct("id", "s")).alias("g")).where("f <> g").select("h", "l", F.col("f.id").alias("first_id"), F.col("f.s").alias("first_start"))
-    return u.join(first, ["h", "l"]).where("id <> first_id or s <> first_start").select("id", F.col("s").alias("start"), F.col("e").alias("end"), "first_id", "first_start")
+    return u.join(first, ["h", "l"]).where("id <> first_id or not short and s <> first_start").select("id", F.col("s").alias("start"), F.col("e").alias("end"), "first_id", "first_start")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: str = "line", sentences: bool = True, least: int = LEAST) -> DataFrame:
@@ -95,8 +112,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i, text, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "gone")), strict=True):
                 removed: list[list[int]] = []
                 for x in spans:
-                    if removed and removed[-1][1] == x["start"]:
-                        removed[-1][1] = x["end"]
+                    if removed and removed[-1][1] >= x["start"]:
+                        removed[-1][1] = max(removed[-1][1], x["end"])
                     else:
                         removed.append([x["start"], x["end"]])
                 edges = [0, *(y for x in removed for y in x), len(text or "")]

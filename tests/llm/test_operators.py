@@ -308,6 +308,18 @@ def test_passages(spark, docs, none):
             assert "".join(t[a:b] for a, b in passages.units(t, level, s)) == t
 
 
+def test_passages_of_whole_and_short_lines(spark):
+    own = "Words of text {0} that no other text of this table has in it at all. "
+    note, two = "licensed under cc by-nc 4.0.", "See here. Go on."
+    copy = "Hi there. Yes. No. " + own.format(7) + "\nOk. Then.\nEnd."
+    rows = [(1, own.format(1) + "\n" + note + "\n" + two + "\n"), (2, own.format(2) + "\n" + note.upper().replace("BY", "by") + "\n" + own.format(22) + "\n" + two + "\n" + note), (3, copy), (4, copy), (5, "Title.\nShort one. " + own.format(5)), (6, "Other.\nShort one. " + own.format(6)), (7, "Refrain.\n" + own.format(8) + "\nRefrain.\nRefrain.")]
+    out = {r.id: r for r in passages.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.text for i, r in out.items()} == {2: own.format(2) + "\n" + own.format(22) + "\n", 4: "", 6: "Other.\n" + own.format(6)}
+    for r in out.values():
+        cover = sorted([(x.start, x.end) for x in r.removed] + [(x.start, x.end) for x in r.kept])
+        assert "".join(dict(rows)[r.id][a:b] for a, b in cover) == dict(rows)[r.id]
+
+
 def test_chain_on_held_out_rows(spark):
     rnd = random.Random(5)
     rows, labels = [], []
