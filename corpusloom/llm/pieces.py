@@ -85,6 +85,7 @@ class Codec:
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.whole = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.identity = not self.map.units
+        self.widths = np.array([1 if self.plain.IsByte(i) else len(self.plain.IdToPiece(i).encode("utf-8")) for i in range(self.plain.GetPieceSize())], np.int64)
         self.kept, self.known = kept, {}
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -164,18 +165,18 @@ class Codec:
             out.append((np.frombuffer(b"".join([g[0] for g in got]), np.uint32), ",".join([g[1] for g in got if g[1]]), source))
         return out
 
-    def spans(self, text: str, ids: np.ndarray, source: np.ndarray | None) -> list[tuple[int, int]]:
+    def spans(self, text: str, ids: np.ndarray, source: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Source bytes [start, end) of each piece. The added prefix has no bytes of its
         own; a byte piece that is part of a character gets its single byte."""
         if source is None:
-            raw = text.encode("utf-8")
-            wide = np.where(np.frombuffer(raw, np.uint8) == 0x20, 3, 1)
+            raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+            wide = np.where(raw == 0x20, 3, 1)
             source = np.concatenate((np.zeros(3, np.int64), np.repeat(np.arange(len(raw)), wide), [len(raw)])) if text else np.zeros(1, np.int64)
-        widths = [1 if self.plain.IsByte(i) else len(self.plain.IdToPiece(i).encode("utf-8")) for i in map(int, ids)]
-        ends = np.cumsum(widths) if widths else np.empty(0, np.int64)
-        if len(ends) and ends[-1] != len(source) - 1:
+        at = np.concatenate(([0], np.cumsum(self.widths[ids])))
+        if len(ids) and at[-1] != len(source) - 1:
             raise ValueError("the pieces do not cover the normalised text")
-        return list(zip(source[np.concatenate(([0], ends[:-1]))].tolist(), source[ends].tolist(), strict=True)) if len(ends) else []
+        edges = source[at]
+        return edges[:-1], edges[1:]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.whole.decode([x.tolist() for x in ids], num_threads=1)
@@ -196,6 +197,18 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in arrays])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).astype(kind)))
+
+
+def _projected(c: Codec, texts: list[str]):
+    """What Codec.encode gives, and the starts and the ends of each text's pieces."""
+    got = c.encode(texts)
+    spans = [c.spans(t, ids, source) for t, (ids, _, source) in zip(texts, got, strict=True)]
+    return got, [x for x, _ in spans], [x for _, x in spans]
+
+
 def _texts(part: pa.RecordBatch) -> list[str]:
     return pc.fill_null(part.column("text"), "").to_pylist()
 
@@ -214,10 +227,8 @@ def encode_pieces(docs: DataFrame, model_file: str | None = None, id_col: str =
         c = codec(path)
         for batch in batches:
             for part in slices(batch):
-                texts = _texts(part)
-                got = c.encode(texts)
-                spans = [c.spans(t, ids, source) for t, (ids, _, source) in zip(texts, got, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([[s for s, _ in x] for x in spans], pa.list_(pa.int64())), pa.array([[e for _, e in x] for x in spans], pa.list_(pa.int64()))], ["id", "ids", "starts", "ends"])
+                got, starts, ends = _projected(c, _texts(part))
+                yield pa.RecordBatch.from_arrays([part.column("id"), _lists([g[0] for g in got], np.int32), _lists(starts, np.int64), _lists(ends, np.int64)], ["id", "ids", "starts", "ends"])
 
     return two(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>, starts array<long>, ends array<long>")
 
@@ -236,8 +247,9 @@ def decode_pieces(coded: DataFrame, model_file: str | None = None, id_col: str =
 
 
 def piece_digests(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256, covered) per row, encoded and decoded
-    in one pass; covered is the number of source bytes that the pieces' spans hold."""
+    """(id, n_tokens, ids_sha256, decoded_sha256, covered_bytes, spans_sha256) per row, encoded, projected and
+    decoded in one pass; covered_bytes is the number of source bytes that the pieces' spans hold, spans_sha256 the
+    digest of all starts and then all ends as little-endian 64-bit numbers."""
     path = model_file or default_model()
 
     def sha(x: str) -> str:
@@ -247,29 +259,29 @@ def piece_digests(docs: DataFrame, model_file: str | None = None, id_col: str =
         c = codec(path)
         for batch in batches:
             for part in slices(batch):
-                got = c.encode(_texts(part))
+                got, starts, ends = _projected(c, _texts(part))
                 ids = [g[0] for g in got]
                 back = c.decode(ids)
-                covered = [len(t.encode("utf-8")) if s is None else int(s[-1] - s[0]) if len(i) else 0 for t, i, (_, _, s) in zip(_texts(part), ids, got, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(g[1]) for g in got]), pa.array([sha(x) for x in back]), pa.array(covered, pa.int64())], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
+                covered = [int((e - s).sum()) for s, e in zip(starts, ends, strict=True)]
+                spans = [hashlib.sha256(s.astype("<i8").tobytes() + e.astype("<i8").tobytes()).hexdigest() for s, e in zip(starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(g[1]) for g in got]), pa.array([sha(x) for x in back]), pa.array(covered, pa.int64()), pa.array(spans)], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "spans_sha256"])
 
-    return two(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
+    return two(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long, spans_sha256 string")
 
 
 def encoded_documents(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """Documents as training rows: doc_id, lang, source, n_tokens and the piece ids."""
+    """Documents as training rows: doc_id, lang, source, n_tokens, the piece ids, and the source bytes of each."""
     path = model_file or default_model()
 
     def run(batches):
         c = codec(path)
         for batch in batches:
             for part in slices(batch):
-                ids = [g[0].astype(np.int32) for g in c.encode(_texts(part))]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("source"), pa.array(np.diff(ends), pa.int64()), lists], ["doc_id", "lang", "source", "n_tokens", "ids"])
+                got, starts, ends = _projected(c, _texts(part))
+                ids = [g[0] for g in got]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("source"), pa.array([len(x) for x in ids], pa.int64()), _lists(ids, np.int32), _lists(starts, np.int64), _lists(ends, np.int64)], ["doc_id", "lang", "source", "n_tokens", "ids", "starts", "ends"])
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(lang as string) as lang", "cast(source as string) as source", "cast(text as string) as text").mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>")
+    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(lang as string) as lang", "cast(source as string) as source", "cast(text as string) as text").mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, starts array<long>, ends array<long>")
 
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

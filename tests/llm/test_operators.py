@@ -275,6 +275,30 @@ def test_sentence_pieces(spark, docs):
         assert r.n_tokens == len(want) and r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
 
 
+def test_query_and_stage_project_pieces_to_source_bytes(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    texts = [None, "", " two  spaces ", "plain words of text", "日本語 🙂 é", "▁mark ▁", "a\x00b"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    rows = {r.doc_id: r for r in pieces.encoded_documents(df).collect()}
+    for r in pieces.piece_digests(df).collect():
+        raw, own = (texts[r.id] or "").encode(), rows[r.id]
+        edges, at = [0], 0
+        for i in sp.encode(texts[r.id] or ""):
+            # the added prefix has no bytes; a mark of a space is one byte of the source if that is a space
+            new = bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).encode()
+            if not at and len(edges) == 1:
+                new = new[3:]
+            while new:
+                n = 3 if new.startswith("▁".encode()) and raw[at : at + 1] == b" " else 1
+                new, at = new[n:], at + 1
+            edges.append(at)
+        assert (own.starts, own.ends, own.n_tokens) == (edges[:-1], edges[1:], r.n_tokens), texts[r.id]
+        both = np.array(edges[:-1] + edges[1:], "<i8").tobytes()
+        assert r.covered_bytes == len(raw) and r.spans_sha256 == hashlib.sha256(both).hexdigest()
+
+
 def test_character_map_against_the_library():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
