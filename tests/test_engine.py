@@ -78,6 +78,27 @@ def test_components_and_packing(spark):
     assert [(r.o, r.row_id, r.offset) for r in sampling.greedy_packing(rows, "g", "o", "n", 10).orderBy("o").collect()] == [(0, 0, 0), (1, 0, 5), (2, 1, 0), (4, 2, 0)]
 
 
+def test_jaccard_pairs_of_a_large_group_against_brute_force(spark):
+    rnd = random.Random(9)
+    texts = []
+    base = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    for i in range(230):
+        w = list(base)
+        for j in rnd.sample((0, 1, 58, 59, 30), rnd.choice((0, 1, 1, 2))):
+            w[j] = "x" + "".join(chr(97 + int(c)) for c in str(i))
+        texts.append(" ".join(w))
+    texts += [" ".join(rnd.choice(base) for _ in range(50)) for _ in range(10)] * 2 + ["short text", "", None]
+    sets = [frozenset(tuple(w[k : k + 8]) for k in range(len(w) - 7)) if len(w) >= 35 else frozenset() for w in ((t or "").split() for t in texts)]
+    want = set()
+    for a, x in enumerate(sets):
+        for b in range(a + 1, len(sets)):
+            common, both = len(x & sets[b]), len(x) + len(sets[b])
+            if common and 100 * common >= 70 * (both - common):
+                want.add((a, b, common, both))
+    got = dedup.jaccard_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(want) > 20_000 and {tuple(r) for r in got} == want
+
+
 def test_planes():
     p = P.encode("Μῆνιν ἄειδε, θεά.")
     assert P.decode(p, marks=False) == "μηνιν αειδε θεα." and p.boundary == [0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 2] and p.punct[9] == 1 and p.cap[0] == 1
