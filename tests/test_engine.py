@@ -84,7 +84,7 @@ def test_jaccard_pairs_of_a_large_group_against_brute_force(spark):
     base = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
     for i in range(230):
         w = list(base)
-        for j in rnd.sample((0, 1, 58, 59, 30), rnd.choice((0, 1, 1, 2))):
+        for j in (0, 59)[: 1 + (i % 23 == 0)]:  # all other grams are in more than 200 documents
             w[j] = "x" + "".join(chr(97 + int(c)) for c in str(i))
         texts.append(" ".join(w))
     texts += [" ".join(rnd.choice(base) for _ in range(50)) for _ in range(10)] * 2 + ["short text", "", None]
