@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are worked on at once; bounds a worker's memory.
-SUB_ROWS = 256
+SUB_ROWS = 4096
 #: Bytes of text worked on at once, unless a single row is longer.
 SUB_BYTES = 4 << 20
 
@@ -70,15 +70,15 @@ def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", rows: int = SUB_ROWS):
-    """Parts of a batch of at most `rows` rows and about SUB_BYTES bytes."""
+def slices(batch: pa.RecordBatch, column: str = "text", rows: int = SUB_ROWS, size: int = SUB_BYTES):
+    """Parts of a batch of at most `rows` rows and about `size` bytes."""
     n = batch.num_rows
     if not n:
         return
     lens = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
     start = total = 0
     for i in range(n):
-        if i > start and (i - start >= rows or total + lens[i] > SUB_BYTES):
+        if i > start and (i - start >= rows or total + lens[i] > size):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(lens[i])

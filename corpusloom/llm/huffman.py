@@ -13,6 +13,7 @@ is committed by Spark.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import zlib
@@ -29,7 +30,7 @@ from .common import drop_path, scratch, slices, table, two
 
 STEP, BLOCK_IDS, LIMIT = 64, 1 << 16, 16
 #: Distinct pieces of text whose ids a worker keeps; beyond that it starts anew.
-KEPT = 1_000_000
+KEPT = 1_500_000
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -84,6 +85,7 @@ class Code:
             here = order[last : last + sizes[n]]
             self.codes[here] = (starts[n] + np.arange(len(here))).astype(np.uint64)
             last += sizes[n]
+        self.both = self.codes << np.uint64(6) | lengths.astype(np.uint64)
         self.symbol = np.zeros(1 << self.limit, np.uint32)
         self.width = np.zeros(1 << self.limit, np.int64)
         spread = 1 << (self.limit - self.lengths[order])
@@ -94,19 +96,25 @@ class Code:
         """Bits, high bit first, and the bit offsets of ids 0, STEP, 2 * STEP, ..."""
         if not len(ids):
             return b"", np.empty(0, np.int64)
-        n = self.lengths[ids]
+        # codes of neighbours are joined while they fit in 64 bits, so that fewer are laid into words
+        both, joined = self.both[ids], 1
+        code, n = both >> np.uint64(6), both & np.uint64(63)
+        while self.limit * joined <= 32 and joined < STEP:
+            if len(code) % 2:
+                code, n = np.append(code, np.uint64(0)), np.append(n, np.uint64(0))
+            code, n, joined = code[::2] << n[1::2] | code[1::2], n[::2] + n[1::2], 2 * joined
+        n = n.astype(np.int64)
         end = np.cumsum(n)
         at = end - n
         # each code's share of the 64-bit word it starts in, and of the next
         word, room = at >> 6, 64 - (at & 63) - n
-        code = self.codes[ids]
         first = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
         new = np.concatenate(([0], np.flatnonzero(np.diff(word)) + 1))
         words = np.zeros((int(end[-1]) + 63 >> 6) + 1, np.uint64)
         words[word[new]] = np.bitwise_or.reduceat(first, new)
         over = np.flatnonzero(room < 0)
         words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-        return words.astype(">u8").tobytes()[: int(end[-1]) + 7 >> 3], at[::STEP]
+        return words.astype(">u8").tobytes()[: int(end[-1]) + 7 >> 3], at[:: STEP // joined]
 
     def decode(self, bits: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """The n ids of a block; all stretches between checkpoints in step."""
@@ -124,35 +132,58 @@ class Code:
         return out.T.reshape(-1)[:n]
 
 
+#: Bytes of text that are split and looked up at once, unless a single text is longer.
+SLICE = 16 << 20
+
+
 class Encoder:
-    """Whole texts to ids by the tokenizers library. A byte-level pre-tokenizer always cuts before a
-    single space between two other characters, so a text is the sum of its words with the space
-    in front; their ids are kept in a bounded table, and only new ones go to the library, many
-    to a call, strung together (each starts with such a cut) and told apart by the bytes of their
-    tokens. Where white space does not stand alone the stretch around it is left whole. Words of many texts are
-    numbered at once, so the table is asked once a distinct word, and their ids are gathered."""
-
-    #: White space other than space and line feed.
-    RARE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    """Whole texts to ids by the tokenizers library. A byte-level pre-tokenizer always cuts before a single
+    space, and before a line feed, that stands between two other characters, so a text is the sum of its words with the
+    space or line feed in front; their ids are kept in a bounded table, and only new words go to the library, many
+    to a call, strung together and told apart by the bytes of their tokens. Words of letters with at
+    most one mark after them are whole pre-tokens by the rule and go to the library's model without its regex.
+    Where white space does not stand alone the stretch around it is left whole. Words of many texts are
+    numbered at once, so the table is asked once a distinct word, and their ids are gathered.
+
+    All this is done only for a tokenizer whose file says that it works so; another one is given whole texts."""
+
+    #: White space other than space and line feed, as Python and as the library's regex see it.
+    RARE = "\t\x0b-\r\x1c-\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+    #: Texts in which some white space does not stand alone.
+    ODD = f"^$|^[ \n]| $|  | \n|\n |\n\n\n|\n\n$|[{RARE}]"
+    #: Letters (as every version of Unicode has them) and at most one mark.
+    PLAIN, MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[.,;:!?]?", ".,;:!?"
     #: Marks the head of a text, which has no space in front; a lone surrogate is in no text.
     HEAD = "\udc00"
+    #: Words of a string for the library.
+    GROUP = 1000
 
-    def __init__(self, path: str, kept: int = KEPT):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, kept: int = KEPT, end: int | None = None):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         self.tokenizer.no_padding(), self.tokenizer.no_truncation()
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        rule, added = said.get("pre_tokenizer") or {}, said.get("added_tokens") or []
+        self.cut = said["model"]["type"] == "BPE" and not said.get("normalizer") and rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space", True) and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or any(c.isspace() for c in x["content"]) for x in added)
+        self.plain = None
+        if self.cut and not any(re.fullmatch(r"[^\W\d_]+", x["content"]) for x in added):
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.uint16 if max(end or 0, *vocabulary.values()) < 1 << 16 else np.uint32
         #: place of a word in `ends`, in the order met; ids of word k are ids[ends[k]:ends[k + 1]]
         self.known: dict[str, int] = {}
-        self.ends, self.ids = array("q", [0]), array("I")
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends, self.ids = array("q", [0]), array("H" if self.kind is np.uint16 else "I")
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token)
-
-    def spaced(self, text: str) -> bool:
-        """White space in the text stands alone, between two other characters."""
-        return not (text[:1] in ("", " ") or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or self.RARE.search(text))
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves in tokens
+        other = iter(range(256, 512))
+        self.byte = {b: chr(b) if b in own else chr(next(other)) for b in range(256)}
+        self.space, self.feed = self.byte[32], self.byte[10]
+        self.byte[32] = " "
 
     @staticmethod
     def cuts(text: str) -> list[str]:
@@ -166,31 +197,67 @@ class Encoder:
                 out[-1] += " " + x
         return out
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.ends.frombytes((ends.astype(np.int64) + len(self.ids)).tobytes())
-        self.ids.frombytes(ids.astype(np.uint32, copy=False).tobytes())
-
-    def _learn(self, words: list[str], heads: list[str]) -> None:
-        heads = [x for x in dict.fromkeys(heads) if self.HEAD + x not in self.known]
-        plain, odd = [], []
-        for x in words:
-            (odd if x[-1:].isspace() or not x else plain).append(x)
-        alone = self._ids([" " + x for x in odd] + heads)
-        self._add(odd + [self.HEAD + x for x in heads], np.fromiter(chain.from_iterable(alone), np.uint32), np.cumsum([len(x) for x in alone]))
-        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        for group, ids in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
-            packed = np.array(ids, np.uint32)
-            ends = np.cumsum(np.asarray(pc.binary_length(pa.array(group, pa.string())), np.int64) + 1)
-            self._add(group, packed, np.searchsorted(np.cumsum(self.width[packed]), ends, "left") + 1)
-
-    def _places(self, words: np.ndarray, heads: list[str]) -> np.ndarray:
-        """Places of words in the table, where heads are then found too; those that are new are learnt."""
-        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        if len(self.known) + np.count_nonzero(place < 0) + len(heads) > self.kept or len(self.ids) > 8 * self.kept:
+        self.ids.frombytes(ids.astype(self.kind, copy=False).tobytes())
+
+    def _strung(self, tokenizer, words: list[str], wide: int, string, key: str = "") -> None:
+        """Adds words whose ids are told apart by bytes: a word's own, and `wide` for what `string` puts in front."""
+        groups = [words[i : i + self.GROUP] for i in range(0, len(words), self.GROUP)]
+        for group, ids in zip(groups, self._library(tokenizer, [string(g) for g in groups]), strict=True):
+            packed = np.array(ids, self.kind)
+            ends = np.cumsum(np.asarray(pc.binary_length(pa.array(group, pa.string())), np.int64) + wide)
+            self._add([key + x for x in group] if key else group, packed, np.searchsorted(np.cumsum(self.width[packed]), ends, "left") + 1)
+
+    def _pieces(self, front: str):
+        """A string of plain words, each pre-token a word of white space apart, as the model's bytes."""
+
+        def string(words: list[str]) -> str:
+            out = " ".join(words)
+            if not out.isascii():
+                out = out.encode("utf-8").decode("latin-1").translate(self.byte)
+            out = front + out.replace(" ", " " + front) if front else out
+            for x in self.MARKS:
+                out = out.replace(x, " " + x)
+            return out
+
+        return string
+
+    def _learn(self, words: list[str], n: int) -> np.ndarray:
+        """Adds new words, of which the first n are not heads; their places."""
+        names, at = pa.array(words, pa.string()), np.arange(len(words))
+        simple = np.asarray(pc.match_substring_regex(names, f"^\n?(?:{self.PLAIN})$")) if self.plain else np.zeros(len(words), bool)
+        feed = np.asarray(pc.starts_with(names, "\n"))
+        after_feed, after_space, alone = [], [], []
+        for i in np.flatnonzero(~simple[:n]).tolist():
+            (alone if not words[i] or words[i][-1].isspace() else after_feed if words[i][0] == "\n" else after_space).append(i)
+        bare = np.flatnonzero((~simple | feed)[n:]) + n
+        apart = self._library(self.tokenizer, [words[i] if words[i][:1] == "\n" else " " + words[i] for i in alone] + [words[i] for i in bare])
+        place, start = np.empty(len(words), np.int64), len(self.known)
+        self._add([words[i] for i in alone] + [self.HEAD + words[i] for i in bare], np.fromiter(chain.from_iterable(apart), self.kind), np.cumsum([len(x) for x in apart]))
+        parts = self._pieces(self.feed + " ")
+        order = [np.array(alone, np.int64), bare]
+        for tokenizer, which, wide, string, key in (
+            (self.tokenizer, after_space, 1, lambda g: " " + " ".join(g), ""),
+            (self.tokenizer, after_feed, 0, "".join, ""),
+            (self.plain, np.flatnonzero(simple & ~feed & (at < n)), 1, self._pieces(self.space), ""),
+            (self.plain, np.flatnonzero(simple & feed & (at < n)), 0, lambda g: parts([x[1:] for x in g]), ""),
+            (self.plain, np.flatnonzero(simple & ~feed & (at >= n)), 0, self._pieces(""), self.HEAD),
+        ):
+            order.append(np.asarray(which, np.int64))
+            self._strung(tokenizer, [words[i] for i in which], wide, string, key)
+        place[np.concatenate(order)] = start + at
+        return place
+
+    def _places(self, words: np.ndarray, heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words and heads in the table; those that are new are learnt."""
+        asked = words.tolist()
+        place = np.fromiter(chain(map(self.known.get, asked, repeat(-1)), map(self.known.get, [self.HEAD + x for x in heads], repeat(-1))), np.int64, len(asked) + len(heads))
+        if len(self.known) + np.count_nonzero(place < 0) > self.kept or len(self.ids) > 8 * self.kept:
             # the words met first are the frequent ones: half of the table stays
             half = min(self.kept, len(self.known)) // 2
             while half and self.ends[half] > 4 * self.kept:
@@ -199,41 +266,51 @@ class Encoder:
             del self.ids[self.ends[half] :], self.ends[half + 1 :]
             place[place >= half] = -1
         new = np.flatnonzero(place < 0)
-        missing = words[new].tolist()
-        self._learn(missing, heads)
-        place[new] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
-        return place
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        good = [self.spaced(t) for t in texts]
+        both = asked + heads
+        place[new] = self._learn([both[i] for i in new.tolist()], int(np.searchsorted(new, len(asked))))
+        return place[: len(words)], place[len(words) :]
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> pa.BinaryArray:
+        """The ids of each text, and `end` behind them, as little-endian whole numbers of the width of `kind`."""
+        tail = np.array([] if end is None else [end], self.kind)
+        if not len(texts):
+            return pa.array([], pa.binary())
+        if not self.cut:
+            return pa.array([np.array(x, self.kind).tobytes() + tail.tobytes() for x in self._library(self.tokenizer, texts.to_pylist())], pa.binary())
+        odd = pc.match_substring_regex(texts, self.ODD)
         # texts that Arrow can split come first, the others after them
-        order = [i for i, g in enumerate(good) if g] + [i for i, g in enumerate(good) if not g]
-        lists = [pc.split_pattern(pa.array([t for t, g in zip(texts, good, strict=True) if g], pa.string()), " "), pa.array([self.cuts(t) for t, g in zip(texts, good, strict=True) if not g], pa.list_(pa.string()))]
+        lists = [pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), " ")]
+        if pc.any(odd).as_py():
+            lists.append(pa.array([self.cuts(t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string())))
         at = np.concatenate(([0], np.cumsum(np.concatenate([np.asarray(pc.list_value_length(x), np.int64) for x in lists]))))
         coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
-        number, words = np.asarray(coded.indices, np.int64), coded.dictionary.to_numpy(zero_copy_only=False)
-        inner = np.ones(len(number), bool)
-        inner[at[:-1]] = False
-        asked = np.flatnonzero(np.bincount(number[inner], minlength=len(words)))
-        heads = words[number[at[:-1]]].tolist()
-        place = np.zeros(len(words), np.int64)
-        place[asked] = self._places(words[asked], heads)
-        k = place[number]
-        k[at[:-1]] = [self.known[self.HEAD + x] for x in heads]
-        ends = np.frombuffer(self.ends, np.int64)
-        start, n = ends[k], ends[k + 1] - ends[k]
+        index, words = np.array(coded.indices, np.int32), coded.dictionary.to_numpy(zero_copy_only=False)
+        first, which = np.unique(index[at[:-1]], return_inverse=True)
+        index[at[:-1]] = len(words) + which
+        seen = np.zeros(len(words) + len(first), bool)
+        seen[index] = True
+        asked, place = np.flatnonzero(seen[: len(words)]), np.zeros(len(words), np.int64)
+        place[asked], heads = self._places(words[asked], words[first].tolist())
+        place = np.concatenate((place, heads))
+        # the ids of the slice's distinct words and heads, and the end, as strings of bytes that Arrow gathers
+        ends, size = np.frombuffer(self.ends, np.int64), np.dtype(self.kind).itemsize
+        start, n = ends[place], ends[place + 1] - ends[place]
         last = np.cumsum(n)
-        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(start - (last - n), n) + np.arange(last[-1])] if len(self.ids) else np.empty(0, np.uint32)
-        del ends  # the tables cannot grow while a view of them is held
-        out: list[np.ndarray] = [ids] * len(texts)
-        for i, x in zip(order, np.split(ids, last[at[1:-1] - 1]), strict=True):
-            out[i] = x
+        flat = np.frombuffer(self.ids, self.kind)[np.repeat(start - (last - n), n) + np.arange(last[-1])] if len(self.ids) else tail[:0]
+        del ends  # the table cannot grow while a view of it is held
+        offsets = np.concatenate(([0], last, [last[-1] + len(tail)])) * size
+        index = np.insert(index, at[1:], len(place))
+        strings = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.concatenate((flat, tail)).tobytes())])
+        taken = strings.take(pa.array(index))
+        edges = np.frombuffer(taken.buffers()[1], np.int32)[at + np.arange(len(at))]
+        out = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edges), taken.buffers()[2]])
+        if len(lists) > 1:
+            order = np.argsort(np.asarray(odd), kind="stable")
+            out = out.take(pa.array(np.argsort(order)))
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int | None], Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -243,54 +320,39 @@ def default_tokenizer() -> str:
 
 
 def _encode(path: str, end: int | None):
-    tail = np.array([] if end is None else [end], np.uint32)
-
     def run(batches):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        part, at = TaskContext.get().partitionId(), 0
+        if (path, end) not in _ENCODERS:
+            _ENCODERS[path, end] = Encoder(path, end=end)
+        encoder, part, at, counts = _ENCODERS[path, end], TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
         for batch in batches:
-            for piece in slices(batch, rows=1 << 14):
-                ids = [np.concatenate((x, tail)) for x in _ENCODERS[path].encode(pc.fill_null(piece.column("text"), "").to_pylist())]
-                packed = [(b"\2" + x.astype(np.uint16).tobytes()) if not len(x) or x.max() < 1 << 16 else b"\4" + x.tobytes() for x in ids]
-                n = np.array([len(x) for x in ids], np.int64)
-                before = at + np.cumsum(n) - n
+            for piece in slices(batch, rows=1 << 14, size=SLICE):
+                ids = encoder.encode(pc.fill_null(piece.column("text"), ""), end)
+                n = np.asarray(pc.binary_length(ids), np.int64) // np.dtype(encoder.kind).itemsize
+                new = np.bincount(np.frombuffer(ids.buffers()[2], encoder.kind, n.sum()), minlength=len(counts))
+                new[: len(counts)] += counts
+                counts, before = new, at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(before), piece.column("id"), pa.array(n), pa.array(packed, pa.binary())], ["part", "at", "id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(before), piece.column("id"), pa.array(n), ids, pa.nulls(len(n), pa.binary())], _STAGED_NAMES)
+        used = np.flatnonzero(counts)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at]), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([None], pa.binary()), pa.array([np.concatenate((used, counts[used])).tobytes()], pa.binary())], _STAGED_NAMES)
 
     return run
 
 
-def _unpacked(x: pa.Scalar) -> np.ndarray:
-    raw = x.as_py()
-    return np.frombuffer(raw, np.uint16 if raw[:1] == b"\2" else np.uint32, offset=1)
-
-
 def _count(batches):
-    total, held = np.zeros(0, np.int64), [np.zeros(0, np.uint16)]
-
-    def add() -> np.ndarray:
-        c = np.bincount(np.concatenate(held), minlength=len(total))
-        c[: len(total)] += total
-        del held[1:]
-        return c
-
-    n = 0
+    """Counts of ids, a row a task, to a row an id."""
     for batch in batches:
-        for x in batch.column("ids"):
-            held.append(_unpacked(x))
-            n += len(held[-1])
-            if n >= 1 << 20:
-                total, n = add(), 0
-    total = add()
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+        for x in batch.column("counts"):
+            used, n = np.frombuffer(x.as_py(), np.int64).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n)], ["id", "n"])
 
 
-_STAGED = "part int, at long, id long, n long, ids binary"
+_STAGED_NAMES = ["part", "at", "id", "n", "ids", "counts"]
+_STAGED = "part int, at long, id long, n long, ids binary, counts binary"
 _BLOCK = "start long, n long, docs binary, sizes binary, checkpoints binary, bits binary, part int"
 
 
@@ -312,12 +374,12 @@ def _blocks(lengths: np.ndarray, offsets: dict[int, int]):
 
         held = 0
         for batch in batches:
-            for p, at, doc, x in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "id")), batch.column("ids"), strict=True):
+            for p, at, doc, n, x in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "id", "n", "ids")), strict=True):
                 if docs and (p != part or held >= BLOCK_IDS):
                     yield block()
                 if not docs:
                     part, start, held = p, offsets[p] + at, 0
-                x = _unpacked(x)
+                x = np.frombuffer(x, np.uint16 if len(x) == 2 * n else np.uint32)
                 docs.append(doc), sizes.append(len(x)), ids.append(x)
                 held += len(x)
         if docs:
@@ -342,7 +404,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int
     gc.collect()
     spark._jvm.System.gc()  # the shuffle that sorted the texts is no longer needed
     ids = spark.read.schema(_STAGED).parquet(staged)
-    counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = ids.where("counts is not null").select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     sums = {r.part: r.n for r in ids.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     offsets, total = {}, 0
     for p in sorted(sums):
@@ -355,7 +417,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int
     used = np.flatnonzero(lengths)
     table_ = pa.table({"id": used.astype(np.int64), "bits": lengths[used].astype(np.int32)})
     spark.createDataFrame(table_, "id long, bits int").coalesce(1).write.parquet(f"{path}/code")
-    ids.mapInArrow(_blocks(lengths, offsets), _BLOCK).write.partitionBy("part").option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ids.where("counts is null").mapInArrow(_blocks(lengths, offsets), _BLOCK).write.partitionBy("part").option("compression", "uncompressed").parquet(f"{path}/blocks")
     drop_path(spark, staged)
 
 
