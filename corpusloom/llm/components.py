@@ -27,18 +27,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
         .checkpoint()
     )
-    before = None
+    before = _sum(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = large.where("u <> v").distinct()
+        e = large.where("u <> v")
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first())
+        now = _sum(e)
         if now == before:
             break
         before = now
     roots = e.select(F.col("v").alias("u")).distinct()
     return e.unionByName(roots.select("u", F.col("u").alias("v"))).select(F.col("u").alias("v"), F.col("v").alias("component"))
+
+
+def _sum(e: DataFrame) -> tuple:
+    """The same for the same edges."""
+    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first())
