@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .reports import significance
+
 
 def cer(gold: Column, pred: Column) -> Column:
     return F.levenshtein(gold, pred) / F.greatest(F.length(gold), F.lit(1))
@@ -36,31 +38,14 @@ def binary_scores(pairs: DataFrame, gold: str, pred: str, *group: str) -> DataFr
     return c.select(*group, "tp", "fp", "fn", "tn", safe(tp, tp + fp).alias("precision"), safe(tp, tp + fn).alias("recall"), safe(2 * tp, 2 * tp + fp + fn).alias("f1"), ((safe(tp, tp + fn) + safe(tn, tn + fp)) / 2).alias("balanced_accuracy"))
 
 
-def sign_flip_p(diffs: DataFrame, diff: str, limit: int = 20) -> DataFrame:
-    """Two-sided exact permutation p of paired differences: the share of the 2**n sign
-    patterns whose absolute sum is at least the observed one. The units are the rows of a result
-    table; more than `limit` are refused."""
-    d = diffs.select(F.col(diff).cast("double").alias("d")).orderBy("d")
-    n = d.count()
-    if n > limit:
-        raise ValueError(f"{n} pairs; an exact test takes {limit} at most")
-    row = d.agg(F.array_sort(F.collect_list("d")).alias("ds"))
-    patterns = row.select("ds", F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))).alias("m"))
-    signed = F.expr("abs(aggregate(transform(ds, (x, i) -> if(shiftright(m, i) & 1 = 1, -x, x)), 0D, (a, x) -> a + x))")
-    total = F.expr("abs(aggregate(ds, 0D, (a, x) -> a + x))")
-    return patterns.select(signed.alias("s"), total.alias("t")).agg(F.lit(n).cast("long").alias("n"), F.avg((F.col("s") >= F.col("t") - 1e-12).cast("int")).alias("p"))
-
-
-def paired_t(diffs: list[float]) -> tuple[float, float]:
-    """t and Cohen's d of paired differences, of a small result table."""
-    n = len(diffs)
-    mean = sum(diffs) / n
-    sd = math.sqrt(sum((x - mean) ** 2 for x in diffs) / (n - 1)) if n > 1 else 0.0
-    return (mean / (sd / math.sqrt(n)), mean / sd) if sd else (0.0, 0.0)
+def sign_flip_p(diffs: DataFrame, diff: str) -> DataFrame:
+    """(n, p): two-sided permutation p of paired differences, the rows of a result table; see reports.sign_flip."""
+    one = significance(diffs.withColumn("_all", F.lit(1)), "_all", value=diff)
+    return one.select("n", "p")
 
 
 def two_proportions(k1: int, n1: int, k2: int, n2: int) -> tuple[float, float]:
-    """z and two-sided p of a difference of shares."""
+    """z and two-sided p of a difference of shares; reports.two_shares does it for a table."""
     p = (k1 + k2) / (n1 + n2)
     se = math.sqrt(p * (1 - p) * (1 / n1 + 1 / n2))
     z = (k1 / n1 - k2 / n2) / se if se else 0.0

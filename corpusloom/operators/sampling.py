@@ -3,6 +3,8 @@ sample does not depend on partitions."""
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,25 +42,81 @@ def offsets(rows: DataFrame, group: str, order: str, length: str) -> DataFrame:
     return rows.withColumn("offset", F.coalesce(F.sum(length).over(w), F.lit(0)))
 
 
-def greedy_packing(rows: DataFrame, group: str, order: str, length: str, width: int) -> DataFrame:
-    """(group, order, row_id, offset): rows in order into lines of `width`; a line is closed when
-    the next does not fit; longer rows are left out. Sequential in a group, streamed in batches."""
+def greedy_packing(rows: DataFrame, group: str, order: str, length: str, width: int, words: str | None = None, most_words: int | None = None) -> DataFrame:
+    """(group, order, row_id, offset): rows in order into lines of `width` (and `most_words`); a line is closed when the
+    next does not fit; rows that fit in no line are left out (oversize() counts them). Sequential in a group, streamed in
+    batches."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    cap = most_words if most_words is not None else 1 << 62
 
     def run(batches):
-        now, row, at = None, 0, 0
+        now, row, at, held = None, 0, 0, 0
         for pdf in batches:
             out = []
-            for g, o, n in zip(pdf["g"], pdf["o"], pdf["n"], strict=True):
+            for g, o, n, w in zip(pdf["g"], pdf["o"], pdf["n"], pdf["w"], strict=True):
                 if g != now:
-                    now, row, at = g, 0, 0
-                if n > width:
+                    now, row, at, held = g, 0, 0, 0
+                if n > width or w > cap:
                     continue
-                if at + n > width:
-                    row, at = row + 1, 0
+                if at + n > width or held + w > cap:
+                    row, at, held = row + 1, 0, 0
                 out.append((g, o, row, at))
-                at += int(n)
+                at, held = at + int(n), held + int(w)
             yield pd.DataFrame(out, columns=["g", "o", "row_id", "offset"])
 
-    s = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(length).alias("n")).repartition("g").sortWithinPartitions("g", "o")
+    w = F.col(words) if words else F.lit(0)
+    s = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(length).alias("n"), w.cast("long").alias("w")).repartition("g").sortWithinPartitions("g", "o")
     return s.mapInPandas(run, f"g {kinds[group]}, o {kinds[order]}, row_id long, offset long").select(F.col("g").alias(group), F.col("o").alias(order), "row_id", "offset")
+
+
+def oversize(rows: DataFrame, group: str, length: str, width: int) -> DataFrame:
+    """(group, skipped): rows that greedy_packing leaves out for their length."""
+    return rows.groupBy(group).agg(F.count_if(F.col(length) > width).alias("skipped"))
+
+
+def verse_windows(verses: DataFrame, work: str, order: str, length: str, most: int, width: int, passes: int = 1, seed: int = 0) -> DataFrame:
+    """(work, pass, window, first, last, n): runs of 1 to `most` consecutive verses of a work, at most `width` letters, from
+    a seeded start in each pass; a verse longer than that is skipped. Works are read in order, streamed in batches."""
+    kinds = {f.name: f.dataType.simpleString() for f in verses.schema.fields}
+
+    def draw(*key) -> int:
+        return int(hashlib.md5(":".join(map(str, (seed, *key))).encode()).hexdigest()[:8], 16)
+
+    def cut(work_, rows):
+        for p in range(passes):
+            i, k = draw(work_, p) % min(most, len(rows)), 0
+            while i < len(rows):
+                take, total = [], 0
+                for o, n in rows[i : i + 1 + draw(work_, p, k) % most]:
+                    if total + n > width:
+                        break
+                    take.append(o)
+                    total += n
+                if take:
+                    yield work_, p, k, take[0], take[-1], total
+                    k += 1
+                i += max(1, len(take))
+
+    def run(batches):
+        held, now = [], None
+        for pdf in batches:
+            out = []
+            for g, o, n in zip(pdf["g"], pdf["o"], pdf["n"], strict=True):
+                if g != now and held:
+                    out += cut(now, held)
+                    held = []
+                now = g
+                held.append((o, int(n)))
+            yield pd.DataFrame(out, columns=["g", "pass", "window", "first", "last", "n"])
+        if held:
+            yield pd.DataFrame(cut(now, held), columns=["g", "pass", "window", "first", "last", "n"])
+
+    s = verses.select(F.col(work).alias("g"), F.col(order).alias("o"), F.col(length).alias("n")).repartition("g").sortWithinPartitions("g", "o")
+    return s.mapInPandas(run, f"g {kinds[work]}, pass int, window int, first {kinds[order]}, last {kinds[order]}, n long").withColumnRenamed("g", work)
+
+
+def seams(rows: DataFrame, work: str, order: str, stop: str = "stop", boundary: str = "boundary") -> DataFrame:
+    """Within a window the last letter of a verse ends a word, not a sentence, unless a stop of a sentence follows it; the
+    window's last letter keeps its end. Columns: boundary and stop of each verse's last letter."""
+    last = F.lead(order).over(W.partitionBy(work).orderBy(order)).isNull()
+    return rows.withColumn(boundary, F.when(last | (F.col(stop) >= 4), F.col(boundary)).otherwise(1))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,38 +37,118 @@ def form_key(s: str) -> str:
     return unicodedata.normalize("NFC", "".join(c for c in bare if c not in "̣̄̆"))
 
 
+def lemma_key(s: str) -> str:
+    """Lower case, composed; length marks and numbers of homonyms stay."""
+    return unicodedata.normalize("NFC", s.lower())
+
+
 def edit_script(form: str, lemma: str) -> tuple[int, str, int, str]:
-    """(cut in front, added in front, cut at the end, added at the end) around the longest common part."""
-    best = (0, 0, 0)
-    row = [0] * (len(lemma) + 1)
-    for i, a in enumerate(form, 1):
-        new = [0] * (len(lemma) + 1)
-        for j, b in enumerate(lemma, 1):
-            if a == b:
-                new[j] = row[j - 1] + 1
-                if new[j] > best[0]:
-                    best = (new[j], i - new[j], j - new[j])
-        row = new
-    n, i, j = best
-    return i, lemma[:j], len(form) - i - n, lemma[j + n :]
-
-
-def apply_script(form: str, script: tuple[int, str, int, str]) -> str:
-    front, add, back, more = script
-    return add + form[front : len(form) - back] + more
+    """(cut in front, added in front, cut at the end, added at the end) around the longest common part, of equal ones the
+    first in the form and then in the lemma; without a common part the whole form is cut."""
+    for n in range(min(len(form), len(lemma)), 0, -1):
+        for i in range(len(form) - n + 1):
+            j = lemma.find(form[i : i + n])
+            if j >= 0:
+                return i, lemma[:j], len(form) - i - n, lemma[j + n :]
+    return len(form), lemma, 0, ""
+
+
+def lemma_script(form: str, lemma: str) -> tuple[int, str, int, str, bool]:
+    """The script of folded keys, and whether the lemma begins with a capital."""
+    return *edit_script(form_key(form), lemma_key(lemma)), lemma[:1] != lemma[:1].lower()
+
+
+def apply_script(form: str, script: tuple) -> str | None:
+    """None if the form is too short for what is cut."""
+    front, add, back, more = script[:4]
+    return add + form[front : len(form) - back] + more if front + back <= len(form) else None
+
+
+def written(script: tuple) -> str:
+    return json.dumps(list(script), ensure_ascii=False)
 
 
 @F.pandas_udf(T.StringType())
 def script_of(form: pd.Series, lemma: pd.Series) -> pd.Series:
-    return pd.Series([None if f is None or m is None else "%d|%s|%d|%s" % edit_script(form_key(f), form_key(m)) for f, m in zip(form, lemma, strict=True)])
+    return pd.Series([None if f is None or m is None else written(lemma_script(f, m)) for f, m in zip(form, lemma, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def key_of(form: pd.Series) -> pd.Series:
+    return pd.Series([None if f is None else form_key(f) for f in form])
+
+
+@F.pandas_udf(T.StringType())
+def scripted(form: pd.Series, script: pd.Series) -> pd.Series:
+    """A form's lemma by a script, with a capital where the script or the form has one; null where it does not apply."""
+
+    def run(f: str, s: str) -> str | None:
+        script = json.loads(s)
+        out = apply_script(form_key(f), script)
+        capital = len(script) > 4 and script[4] or f[:1] != f[:1].lower()
+        return out[:1].upper() + out[1:] if out and capital else out
+
+    return pd.Series([None if f is None or s is None else run(f, s) for f, s in zip(form, script, strict=True)])
 
 
 def label_inventory(tokens: DataFrame) -> DataFrame:
-    """(script, n, rank) of edit scripts by frequency."""
+    """(script, n, rank) of edit scripts by frequency. Ranks come from how many scripts each frequency has, so no task
+    holds all scripts: ties are ranked in the order of the script within their frequency."""
     n = tokens.select(script_of("form", "lemma").alias("script")).groupBy("script").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window as W
-
-    return n.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "script")))
+    per = n.groupBy("n").agg(F.count("*").alias("k"))
+    above = per.select("n", (F.sum("k").over(W.orderBy(F.desc("n"))) - F.col("k")).alias("above"))  # a row a frequency
+    own = F.row_number().over(W.partitionBy("n").orderBy("script"))
+    return n.join(above, "n").select("script", "n", (F.col("above") + own).alias("rank"))
+
+
+def place_alphabets(tokens: DataFrame, width: int = 9) -> DataFrame:
+    """(pos, chars): sorted characters of each place of the tags, `-` always among them."""
+    tag = F.substring(F.rpad(F.coalesce("xpos", F.lit("")), width, "-"), 1, width)
+    seen = tokens.select(tag.alias("tag")).distinct().select(F.posexplode(F.split("tag", "")).alias("pos", "char")).where("char <> ''")
+    return seen.groupBy("pos").agg(F.array_sort(F.array_union(F.collect_set("char"), F.array(F.lit("-")))).alias("chars"))
+
+
+def lexicon(tokens: DataFrame, *on: str) -> DataFrame:
+    """(on..., lemma, n): how often a key (and a tag) has a lemma. tokens: key, xpos, lemma."""
+    return tokens.groupBy(*on, "lemma").agg(F.count("*").alias("n"))
+
+
+def rule_table(tokens: DataFrame) -> DataFrame:
+    """(form, lemma, upos, xpos): the commonest analysis of each form that takes the rule path; of equals the least."""
+    n = tokens.groupBy("form", "lemma", "upos", "xpos").agg(F.count("*").alias("n"))
+    best = n.groupBy("form").agg(F.min_by(F.struct("lemma", "upos", "xpos"), F.struct(-F.col("n"), "lemma", "upos", "xpos")).alias("x"))
+    return best.select("form", "x.*")
+
+
+def rule_predictions(tokens: DataFrame, rules: DataFrame, lemmas: DataFrame, upos: str = "u", xpos: str = "u--------") -> DataFrame:
+    """(id, lemma, upos, xpos) of tokens (id, form, key) off the model's path: the rule of the form, else the commonest
+    lemma of its key, else the form itself with the tags given. lemmas: key, lemma, n."""
+    best = lemmas.groupBy("key").agg(F.min_by("lemma", F.struct(-F.col("n"), "lemma")).alias("known"))
+    r = rules.select("form", F.struct("lemma", "upos", "xpos").alias("rule"))
+    t = tokens.join(r, "form", "left").join(best, "key", "left")
+    return t.select("id", F.coalesce("rule.lemma", "known", "form").alias("lemma"), F.coalesce("rule.upos", F.lit(upos)).alias("upos"), F.coalesce("rule.xpos", F.lit(xpos)).alias("xpos"))
+
+
+def lemma_decode(words: DataFrame, scripts: DataFrame, by_tag: DataFrame, by_key: DataFrame, extra: DataFrame | None = None, k: int = 64) -> DataFrame:
+    """(word, lemma) of words (word, form, key, xpos) with scores scripts (word, script, lp).
+
+    Of a word's k best scripts that apply, those count that give a lemma which the lexicon has for its key and tag (else
+    for its key), by score plus 0.001 log(1 + times seen); if none does, the lexicon's commonest lemma; without lexicon
+    entries the best script's lemma. by_tag: key, xpos, lemma, n; by_key: key, lemma, n; extra (key, xpos, lemma)
+    adds candidates that were never seen."""
+    applied = scripts.join(words.select("word", "form"), "word").withColumn("out", scripted("form", "script")).where("out is not null")
+    top = applied.withColumn("r", F.row_number().over(W.partitionBy("word").orderBy(F.desc("lp"), "script"))).where(F.col("r") <= k)
+    tagged = words.join(by_tag, ["key", "xpos"]).select("word", "lemma", "n")
+    other = words.join(tagged.select("word").distinct(), "word", "left_anti").join(by_key, "key").select("word", "lemma", "n")
+    known = tagged.unionByName(other)
+    if extra is not None:
+        new = words.join(extra, ["key", "xpos"]).select("word", "lemma", F.lit(0).cast("long").alias("n"))
+        known = known.unionByName(new).groupBy("word", "lemma").agg(F.max("n").alias("n"))
+    hit = top.join(known, (top.word == known.word) & (F.lower(top.out) == F.lower(known.lemma))).select(top.word, "lemma", (F.col("lp") + 0.001 * F.log1p("n")).alias("s"))
+    best = hit.groupBy("word").agg(F.max_by("lemma", F.struct("s", "lemma")).alias("a"))
+    common = known.groupBy("word").agg(F.min_by("lemma", F.struct(-F.col("n"), "lemma")).alias("b"))
+    free = top.where("r = 1").select("word", F.col("out").alias("c"))
+    return words.select("word", "form").join(best, "word", "left").join(common, "word", "left").join(free, "word", "left").select("word", F.coalesce("a", "b", "c", "form").alias("lemma"))
 
 
 def arborescence(score: np.ndarray) -> list[int]:
@@ -120,6 +203,23 @@ def parse_trees(scores: DataFrame) -> DataFrame:
     return scores.select("sent", "dep", "head", "score").groupBy("sent").applyInPandas(solve, f"sent {scores.schema['sent'].dataType.simpleString()}, dep long, head long")
 
 
+def scored_trees(sentences: DataFrame, sent: str, size: str, seed: int = 0) -> DataFrame:
+    """(sent, dep, head): trees over sentences of `size` words whose scores are hashes of their places; a stand-in for a
+    parser, whose matrix is made where the tree is found, so no row a pair is shuffled."""
+    kind = sentences.schema[sent].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for name, n in zip(pdf["sent"], pdf["n"], strict=True):
+                rng = np.random.default_rng(zlib.crc32(f"{seed}:{name}".encode()))
+                heads = arborescence(rng.random((int(n) + 1, int(n) + 1)))
+                out.append(pd.DataFrame({"sent": name, "dep": np.arange(1, int(n) + 1), "head": heads[1:]}))
+            yield pd.concat(out) if out else pd.DataFrame({"sent": [], "dep": [], "head": []})
+
+    return sentences.select(F.col(sent).alias("sent"), F.col(size).alias("n")).mapInPandas(run, f"sent {kind}, dep long, head long")
+
+
 def constrained_tags(scores: DataFrame, inventory: DataFrame) -> DataFrame:
     """(word, tag): of the attested tags the one of the greatest sum of per-place log probabilities;
     scores (word, pos, char, lp), inventory (tag); a place without a score counts -20."""
