@@ -6,16 +6,14 @@ a record belongs to, the last digit of doc_id for the digit rule.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.planes import planes
-from ..operators import decontam, dedup, metrics, sampling, trees
+from ..operators import decontam, dedup, folds, metrics, reports, sampling, trees
+from ..operators.scratch import fresh
 from ..sources import readers
 from ..streaming.decontam import run_stream
 
@@ -26,10 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that spark.checkpoint.dir names, which also serves checkpoint()."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return fresh(spark, label)
 
 
 # SQL that the oracles share
@@ -117,10 +112,13 @@ def role_pairs(spark, d):
     return c.where("role = 'user'").select("conv_id", "turn", F.length("text").cast("long").alias("n_user")).join(a, ["conv_id", "turn"])
 
 
-@query("""select event_id, case when y is null then 15 else cast(least(14, greatest(0, floor((floor((y + y) / 2.0) + 800) / 100.0))) as integer) end as century
- from (select event_id, try_cast(trim(cast(cast(round(value) as bigint) - 400 as varchar)) as integer) as y from events)""")
+_YEAR = "case event_id % 7 when 0 then '999' when 1 then '-0' when 2 then ' -999' when 3 then 'null34' else cast(cast(round(value) as bigint) - 400 as varchar) end"
+
+
+@query(f"""select event_id, case when y is null then 15 else cast(least(14, greatest(0, floor((floor((y + y) / 2.0) + 800) / 100.0))) as integer) end as century
+ from (select event_id, case when trim(t) = '-0' then null when regexp_full_match(trim(t), '-?[0-9]+') and cast(trim(t) as integer) not in (999, -999) then cast(trim(t) as integer) end as y from (select event_id, {_YEAR} as t from events))""")
 def century_buckets(spark, d):
-    y = T.year((F.round("value").cast("long") - 400).cast("string"))
+    y = T.year(F.expr(_YEAR.replace("varchar", "string")))
     return table(spark, d, "events").select("event_id", y.alias("y")).select("event_id", T.century(F.col("y"), F.col("y")).alias("century"))
 
 
@@ -241,7 +239,7 @@ def index_bitor(spark, d):
  union all select doc_id, 0 from documents where doc_id not in (select doc_id from k)""")
 def conflict_masks(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 3).alias("zone"))
-    return decontam.conflict_masks(docs, decontam.index(docs))
+    return decontam.conflict_masks(docs)
 
 
 @query(f"select doc_id, count(distinct g) as n_grams, count(distinct item_id) as n_items from {grams('documents', 'doc_id')} join {grams('benchmark', 'item_id')} using (g) group by doc_id")
@@ -278,17 +276,30 @@ def restitched_segments(spark, d):
     return r.select("doc_id", F.col("seg").cast("long").alias("seg"), F.length("text").cast("long").alias("n"), F.md5("text").alias("text_md5"))
 
 
-@query("select cast(0 as bigint) as leaked")
+_HELD = f"(select g from {grams('benchmark', 'item_id')})"
+
+
+@query(f"""with c as ({_RUNS.replace("md5(text) as text_md5", "text")}), w as (select string_split(text, ' ') as w from c where seg >= 0)
+ select 'cut' as kind, (select count(*) from (select unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as g from w) where g in {_HELD}) as hits
+ union all select 'uncut', (select count(*) from (select distinct doc_id, g from {grams('documents', 'doc_id')}) where g in {_HELD})""")
 def leakage_verify(spark, d):
-    """Held-out n-grams left inside re-stitched segments: none may be."""
-    held = table(spark, d, "benchmark")
-    left = decontam.clean_runs(table(spark, d, "documents"), held).select(F.concat_ws("/", "doc_id", "seg").alias("doc_id"), "text")
-    return decontam.gram_hits(left, held).agg(F.coalesce(F.sum("n_grams"), F.lit(0)).alias("leaked"))
+    """Held-out n-grams left inside re-stitched segments, and in the documents as they were."""
+    held, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    left = decontam.clean_runs(docs, held).select(F.concat_ws("/", "doc_id", "seg").alias("doc_id"), "text")
+    total = lambda df, kind: decontam.gram_hits(df, held).agg(F.lit(kind).alias("kind"), F.coalesce(F.sum("n_grams"), F.lit(0)).alias("hits"))
+    return total(left, "cut").unionByName(total(docs, "uncut"))
 
 
-@query(f"select item_id, true as flagged from (select item_id, {wlist()} as w from benchmark) where len(w) >= 8")
+_RESPELT = "regexp_replace({0}, '([A-Za-z]{{9,}})', '\\1x'{1})"
+
+
+@query(f"""with a as (select item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as g from (select item_id, {wlist()} as w from benchmark)),
+ b as (select item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as g from (select item_id, {wlist(_RESPELT.format("text", ", 'g'").replace(chr(92) * 2, chr(92)))} as w from benchmark))
+ select item_id, count(distinct a.g) as n_grams, count(distinct b.g) as n_shared, count(b.g) > 0 as flagged from a left join b using (item_id, g) group by item_id""")
 def mutation_flagged(spark, d):
-    return decontam.mutation_test(table(spark, d, "benchmark"))
+    """Copies in another spelling and with a letter more in each long word: the n-grams that the index still finds."""
+    items = table(spark, d, "benchmark")
+    return decontam.mutation_test(items, F.regexp_replace("text", "([A-Za-z]{9,})", "$1x"))
 
 
 @query(f"""with w as (select distinct doc_id, w from (select doc_id, unnest({wlist()}) as w from documents) where length(w) >= 6),
@@ -307,9 +318,10 @@ def window_scan(spark, d):
     return decontam.window_scan(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
-@query(f"""with b as (select distinct substr(t, i, 20) as s from (select t, unnest(range(1, length(t) - 18)) as i from (select replace({skel()}, ' ', '') as t from benchmark))),
- d as (select distinct doc_id, substr(t, i, 20) as s from (select doc_id, t, unnest(range(1, length(t) - 18)) as i from (select doc_id, replace({skel()}, ' ', '') as t from documents)))
- select doc_id, count(*) as n_shared from d join b using (s) group by doc_id""")
+_RUNS20 = "(select {0}, substr(t, i, 20) as s from (select {0}, t, unnest(range(1, length(t) - 18)) as i from (select {0}, replace({1}, ' ', '') as t from {2})) union all select {0}, 'whole ' || t from (select {0}, replace({1}, ' ', '') as t from {2}) where length(t) between 1 and 19)"
+
+
+@query(f"select doc_id, count(distinct s) as n_shared from {_RUNS20.format('doc_id', skel(), 'documents')} where s in (select s from {_RUNS20.format('item_id', skel(), 'benchmark')}) group by doc_id")
 def shingle_screen(spark, d):
     return decontam.shingle_screen(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -369,11 +381,20 @@ def shard_offsets(spark, d):
     return sampling.offsets(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars")
 
 
-@query(f"select source, count(*) as n, cast(0 as bigint) as broken from ({_OFFSETS}) group by source")
+_STORE = f"(select lang as tier, doc_id as id, \"offset\" - case when doc_id % 97 = 5 then 1 else 0 end as \"offset\", n_chars as length from (select lang, doc_id, n_chars, cast(coalesce(sum(n_chars) over (order by lang, doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\" from documents) where doc_id % 89 <> 7)"
+
+
+@query(f"""with s as (select * from {_STORE} where length > 0), e as (select distinct "offset" + length as o from s), k as (select "offset" as o, count(*) as k from s group by 1),
+ r as (select tier, row_number() over (order by tier) as rank from (select distinct lang as tier from documents)), l as (select r.tier, max("offset" + length) as lim from r left join r q on q.rank < r.rank left join s on s.tier = q.tier group by r.tier),
+ h as (select s.tier, count(*) as records, cast(sum(length) as bigint) as letters, count(*) filter (where k > 1 or "offset" > 0 and e.o is null) as broken, count(*) filter (where "offset" < lim) as out_of_order
+ from s join k on k.o = s."offset" left join e on e.o = s."offset" join l on l.tier = s.tier group by s.tier)
+ select tier, records, letters, broken, out_of_order, records * 100 < m * 98 or letters > chars as lossy from h join (select lang as tier, count(*) as m, sum(n_chars) as chars from documents group by 1) using (tier)""")
 def offset_contiguity(spark, d):
-    w = W.partitionBy("source").orderBy("doc_id")
-    o = shard_offsets(spark, d).withColumn("want", F.coalesce(F.lag(F.col("offset") + F.col("n_chars")).over(w), F.lit(0)))
-    return o.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("offset") != F.col("want")).alias("broken"))
+    """A store whose rows lie after one another by language, with some rows gone and some moved by one."""
+    docs = table(spark, d, "documents").select(F.col("lang").alias("tier"), F.col("doc_id").alias("id"), "n_chars")
+    o = sampling.offsets(docs.withColumn("all", F.lit(1)).withColumn("key", F.struct("tier", "id")), "all", "key", "n_chars")
+    store = o.where("id % 89 <> 7").select("tier", "id", (F.col("offset") - F.when(F.col("id") % 97 == 5, 1).otherwise(0)).alias("offset"), F.col("n_chars").alias("length"))
+    return folds.store_faults(store, docs, [r.tier for r in docs.select("tier").distinct().orderBy("tier").collect()], loss_percent=2)
 
 
 @query()
@@ -381,10 +402,20 @@ def greedy_packing(spark, d):
     return sampling.greedy_packing(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 8192)
 
 
-@query()
+#: Latin letters as Greek ones, so that the driver's texts have planes.
+_AS_GREEK = "translate({0}, 'abcdefghijklmnopqrstuvwxyzßæœ', 'αβγδεφγηιικλμνοπκρστυβωξυζσεε')"
+
+
+@query(f"""with t as (select doc_id, {_AS_GREEK.format('strip_accents(lower(text))')} as t from documents),
+ g as (select doc_id, t, regexp_extract_all(t, '[α-ω]+') as w, regexp_split_to_array(t, '[α-ω]+') as gaps from t)
+ select doc_id, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as n_letters, cast(len(w) as bigint) as n_words,
+ cast(case when len(w) = 0 then 0 else 1 + len(list_filter(gaps[2:len(gaps) - 1], lambda x: regexp_matches(x, '[.;!?]'))) end as bigint) as n_sentences,
+ cast(len(list_filter(gaps[2:len(gaps) - 1], lambda x: regexp_matches(x, ',') and not regexp_matches(x, '[.;!?:·]'))) as bigint) as n_commas from g""")
 def letter_planes(spark, d):
-    p = table(spark, d, "documents").select("doc_id", planes("text").alias("p"))
-    return p.select("doc_id", F.coalesce(F.array_size("p.chars"), F.lit(0)).alias("n_letters"))
+    p = table(spark, d, "documents").select("doc_id", planes(F.translate(T.fold(F.col("text")), "abcdefghijklmnopqrstuvwxyzßæœ", "αβγδεφγηιικλμνοπκρστυβωξυζσεε")).alias("p")).select("doc_id", F.coalesce("p.boundary", F.array().cast("array<tinyint>")).alias("b"), F.coalesce("p.punct", F.array().cast("array<tinyint>")).alias("s"))
+    count = lambda x: F.size(x).cast("long")
+    inner = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
+    return p.select("doc_id", count("b").alias("n_letters"), count(F.filter("b", lambda x: x >= 1)).alias("n_words"), count(F.filter("b", lambda x: x == 2)).alias("n_sentences"), count(F.filter(inner("s"), lambda x: x == 1)).alias("n_commas"))
 
 
 # --- reports and metrics
@@ -416,14 +447,15 @@ def label_scores(spark, d):
     return s.select("source", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "balanced_accuracy")])
 
 
-_TURNS = "select a.conv_id, a.turn, regexp_replace(substr(a.text, 1, 40), '[^ -~]', '?', 'g') as gold, regexp_replace(substr(b.text, 1, 40), '[^ -~]', '?', 'g') as pred, a.turn % 3 as band from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1"
+_PLAIN_TURN = "regexp_replace({0}, '[^ -~]', '?'{1})"  # engines differ on bytes and letters
+_TURNS = f"select a.conv_id, a.turn, {_PLAIN_TURN.format('a.text', chr(44) + chr(39) + 'g' + chr(39))} as gold, {_PLAIN_TURN.format('b.text', chr(44) + chr(39) + 'g' + chr(39))} as pred, a.turn % 3 as band from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1"
 
 
 def _turns(spark, d):
-    c = table(spark, d, "conversations")
-    c = c.withColumn("text", F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "?"))  # engines differ on bytes and letters
-    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.substring("text", 1, 40).alias("pred"))
-    return c.select("conv_id", "turn", F.substring("text", 1, 40).alias("gold"), (F.col("turn") % 3).alias("band")).join(nxt, ["conv_id", "turn"])
+    """Each turn with the next one, whole."""
+    c = table(spark, d, "conversations").withColumn("text", F.regexp_replace("text", "[^ -~]", "?"))
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred"))
+    return c.select("conv_id", "turn", F.col("text").alias("gold"), (F.col("turn") % 3).alias("band")).join(nxt, ["conv_id", "turn"])
 
 
 @query(f"select band, count(*) as n, round(avg(levenshtein(gold, pred) / greatest(length(gold), 1)), 6) as cer, round(avg((gold = pred)::int), 6) as top1, round(avg((gold in (pred, gold))::int), 6) as topk from ({_TURNS}) group by band")
@@ -440,14 +472,11 @@ def macro_micro(spark, d):
     return m.select(F.round("macro", 6).alias("macro"), F.round("micro", 6).alias("micro"))
 
 
-_DIFFS = "select source, sum(quality) - sum(toxic) - 12 as d from documents join labels using (doc_id) where source in ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7') group by source"
-
-
-@query(f"""with x as (select d, row_number() over (order by d) - 1 as i from ({_DIFFS})), m as (select unnest(range(1 << (select count(*) from x)::integer)) as m),
- s as (select m, abs(sum(case when (m >> i::integer) & 1 = 1 then -d else d end)) as s from m, x group by m)
- select (select count(*) from x) as n, round(avg((s >= abs((select sum(d) from x)) - 1e-12)::int), 6) as p from s""")
+@query("""with recursive x as (select d, row_number() over (order by d, source) as i from (select source, cast(sum(quality) - sum(toxic) - 12 as bigint) as d from documents join labels using (doc_id) group by source)),
+ f(i, s, share) as (select 0::bigint, 0::bigint, 1.0::double union all select i, s, sum(share) from (select x.i, f.s + x.d as s, f.share / 2 as share from f join x on x.i = f.i + 1 union all select x.i, f.s - x.d, f.share / 2 from f join x on x.i = f.i + 1) group by i, s)
+ select (select count(*) from x) as n, round(sum(share) filter (where abs(s) >= abs((select sum(d) from x))), 6) as p from f where i = (select count(*) from x)""")
 def sign_flip_test(spark, d):
-    docs = table(spark, d, "documents").where(F.col("source").isin(*[f"src{i}" for i in range(8)])).join(table(spark, d, "labels"), "doc_id")
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     diffs = docs.groupBy("source").agg((F.sum("quality") - F.sum("toxic") - 12).alias("d"))
     return metrics.sign_flip_p(diffs, "d").select("n", F.round("p", 6).alias("p"))
 
@@ -466,10 +495,9 @@ def edit_scripts(spark, d):
 
 @query()
 def spanning_trees(spark, d):
-    """Heads over the first words of each conversation turn, scored by a hash."""
-    t = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("sent"), F.least(F.size(F.split("text", " ")), F.lit(6)).alias("n"))
-    s = t.select("sent", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("dep")).select("sent", "dep", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("head")).where("dep <> head")
-    return trees.parse_trees(s.withColumn("score", (F.pmod(F.xxhash64("sent", "dep", "head"), F.lit(1000)) / 1000.0)))
+    """Heads of the words of each conversation turn; each word is scored for a head by a hash of the two places."""
+    t = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("sent"), F.size(F.split("text", " ")).alias("n"))
+    return trees.scored_trees(t, "sent", "n", seed=1)
 
 
 @query(f"select doc_id, count(distinct g) as n_grams from {grams('documents', 'doc_id')} where g in (select g from {grams('benchmark', 'item_id')}) group by doc_id")

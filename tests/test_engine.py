@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.mark.parametrize("name", [n for n in registry.SQL if n not in ("window_scan",)])
+@pytest.mark.parametrize("name", list(registry.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
