@@ -12,22 +12,25 @@ are one fingerprint each, of their whole length, looked up at every document
 position of that length.
 
 The benchmark is a stated query set: it is taken in blocks, each of at most
-`block_words` words, and each block is sent to the workers whole (12 bytes a word,
-48 MB at the default) while all documents stream past. One block needs no shuffle
-at all; further blocks are further passes, merged by document.
+`block_words` words, which are broadcast (12 bytes a word, 48 MB at the default), while all documents stream past and
+each row is held against PASS blocks at once. More blocks are further passes over the rows as written by the one
+before, so a row's result is its own at any size of the benchmark, and there is no shuffle.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, hashed_words, slices, table, two, window_hashes
+from .common import ALNUM, hashed_words, slices, stored, table, two, window_hashes
 
 WINDOW, K, BLOCK_WORDS = 10, 5, 4_000_000
-_SCHEMA = "id long, n_words long, hits array<struct<s: long, e: long>>, items array<long>"
+#: Blocks that a worker holds at once.
+PASS = 4
+_SCHEMA = "id long, text string, n_words long, hits array<struct<s: long, e: long>>, items array<long>"
 
 
 def winnow(grams: np.ndarray, w: int) -> np.ndarray:
@@ -100,24 +103,38 @@ def _extend(h: np.ndarray, s: int, e: int, p: int, words: np.ndarray, a: int, b:
     return p - (left if back.all() else int(np.argmin(back))), p + stop
 
 
+class Slice:
+    """Words of some texts, and the k-grams that winnowing keeps: first and last positions of their runs."""
+
+    def __init__(self, texts: pa.Array, window: int, k: int):
+        self.h, self.at = hashed_words(texts, ALNUM)
+        h, at = self.h, self.at
+        self.doc = doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        grams, w = window_hashes(h, k), window - k + 1
+        kept = np.zeros(len(h), bool)
+        if len(grams) >= w:
+            kept[winnow(grams, w)] = True
+        kept[len(grams) :] = False
+        inside = np.arange(len(grams)) + k <= at[doc[: len(grams)] + 1]
+        first, self.last = runs(grams, np.where(inside, doc[: len(grams)], -1)) if len(grams) else (inside, inside)
+        self.p = np.unique(first[np.flatnonzero(kept[: len(grams)] & inside)])
+        self.grams = grams[self.p]
+
+
 def scan(texts: pa.Array, block: Block) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
     """(words, stretches hit, items hit) of each text."""
-    h, at = hashed_words(texts, ALNUM)
+    return search(Slice(texts, block.window, block.k), block)
+
+
+def search(part: Slice, block: Block) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
+    """(words, stretches hit, items hit) of each text of a slice."""
+    h, at, doc, p, last = part.h, part.at, part.doc, part.p, part.last
     window, k = block.window, block.k
     n_docs = len(at) - 1
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n_docs)]
     items: list[set[int]] = [set() for _ in range(n_docs)]
-    doc = np.repeat(np.arange(n_docs), np.diff(at))
     if len(block.keys):
-        grams, w = window_hashes(h, k), window - k + 1
-        kept = np.zeros(len(h), bool)
-        if len(grams) >= w:
-            kept[winnow(grams, w)] = True
-        kept[len(grams) :] = False
-        inside = np.arange(len(grams)) + k <= at[doc[: len(grams)] + 1]
-        first, last = runs(grams, np.where(inside, doc[: len(grams)], -1)) if len(grams) else (inside, inside)
-        p = np.unique(first[np.flatnonzero(kept[: len(grams)] & inside)])
-        who, found = _matches(block.keys, grams[p])
+        who, found = _matches(block.keys, part.grams)
         done: dict[tuple[int, int], tuple[int, int]] = {}
         for x, f in zip(p[who].tolist(), found.tolist(), strict=True):
             d, i = int(doc[x]), int(block.items[f])
@@ -156,24 +173,50 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(block: Block):
+def _found(part: pa.Array, blocks: list) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
+    """What the blocks find in each text of a slice, together."""
+    first = blocks[0].value
+    words = Slice(part, first.window, first.k)
+    found = search(words, first)
+    for b in blocks[1:]:
+        found = [(n, merged(x + y), sorted({*i, *j})) for (n, x, i), (_, y, j) in zip(found, search(words, b.value), strict=True)]
+    return found
+
+
+def _scan(blocks: list, last: bool):
+    """Adds to each row what the blocks find; the last pass needs the texts no more."""
+
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                found = scan(part.column("text"), block)
+                hits, items = part.column("hits").to_pylist(), part.column("items").to_pylist()
+                found = [(n, merged(x + [(y["s"], y["e"]) for y in h]), sorted({*i, *j})) for (n, x, i), h, j in zip(_found(part.column("text"), blocks), hits, items, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
+                        pa.nulls(len(found), pa.string()) if last else part.column("text"),
                         pa.array([x[0] for x in found], pa.int64()),
                         pa.array([[{"s": s, "e": e} for s, e in x[1]] for x in found], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
                         pa.array([x[2] for x in found], pa.list_(pa.int64())),
                     ],
-                    ["id", "n_words", "hits", "items"],
+                    ["id", "text", "n_words", "hits", "items"],
                 )
 
     return run
 
 
+def _clean(blocks: list):
+    """Drops the rows in which the blocks find something."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found = _found(pc.cast(part.column("text"), pa.string()), blocks)
+                yield part.filter(pa.array([not spans for _, spans, _ in found]))
+
+    return run
+
+
 def _blocks(items: DataFrame, window: int, k: int, block_words: int):
     """Items in ascending order, cut where a block would exceed its words."""
     ids, texts, words = [], [], 0
@@ -186,41 +229,38 @@ def _blocks(items: DataFrame, window: int, k: int, block_words: int):
     yield Block(ids, *hashed_words(pa.array(texts, pa.string()), ALNUM), window, k)
 
 
+def _passes(benchmark: DataFrame, item_col: str, item_text: str, window: int, k: int, block_words: int) -> list[list]:
+    """The benchmark's blocks, broadcast one by one, in groups of PASS."""
+    if not 1 <= k <= window:
+        raise ValueError("k must be between 1 and window")
+    items = two(benchmark, item_col, item_text).where("id is not null")
+    held = [benchmark.sparkSession.sparkContext.broadcast(b) for b in _blocks(items, window, k, block_words)]
+    return [held[i : i + PASS] for i in range(0, len(held), PASS)]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, n_words, hits, items) for each document row: word stretches [s, e) that
     lie in a shared stretch of at least `window` words or in a whole shorter
     item, and the ids of those items.
 
     Null and wordless texts have no words and no hits; items without words and
-    items with a null id match nothing. Repeated rows of documents each get a row
-    while the benchmark is one block; with more, rows that repeat an id get one. An item id that repeats
+    items with a null id match nothing. Rows that repeat an id, and rows with a null id, each get
+    a row of their own text. An item id that repeats
     counts once. An empty benchmark leaves every document without hits.
     """
-    if not 1 <= k <= window:
-        raise ValueError("k must be between 1 and window")
-    rows = two(docs, id_col, text_col)
-    found = [rows.mapInArrow(_scan(b), _SCHEMA) for b in _blocks(two(benchmark, item_col, item_text).where("id is not null"), window, k, block_words)]
-    if len(found) == 1:
-        return found[0]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    out = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-    def joined(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("hits")
-            hits = [merged([(x["s"], x["e"]) for x in row]) for row in batch.column(at).to_pylist()]
-            yield batch.set_column(at, "hits", pa.array([[{"s": s, "e": e} for s, e in row] for row in hits], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))))
-
-    return out.mapInArrow(joined, _SCHEMA)
+    rows = two(docs, id_col, text_col).selectExpr("id", "text", "0L as n_words", "cast(array() as array<struct<s: bigint, e: bigint>>) as hits", "cast(array() as array<bigint>) as items")
+    passes = _passes(benchmark, item_col, item_text, window, k, block_words)
+    for i, blocks in enumerate(passes):
+        rows = (stored(rows, "pass") if i else rows).mapInArrow(_scan(blocks, i + 1 == len(passes)), _SCHEMA)
+    return rows.drop("text")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents less those that hold a benchmark passage; columns as given. Rows
-    that repeat an id go together; a null id is always kept."""
-    found = leaks(docs, benchmark).where("size(hits) > 0").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents less those that hold a benchmark passage; columns as given. Every row is judged by its own
+    text, also where its id repeats or is null; a null text stays."""
+    for i, blocks in enumerate(_passes(benchmark, "item_id", "text", WINDOW, K, BLOCK_WORDS)):
+        docs = (stored(docs, "pass") if i else docs).mapInArrow(_clean(blocks), docs.schema)
+    return docs
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
