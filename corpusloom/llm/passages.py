@@ -3,14 +3,17 @@
 A text is cut into lines or paragraphs, and these at sentence ends, so that a passage put in
 the middle of a line is seen too. Units are normalised (lower case A-Z, words joined by one space)
 and digested, and so are whole lines. A unit of fewer than `least` words is digested with the words before it in the
-text up to that number, so common short sentences count only in the same surroundings; near the start of
-a text, where there are too few, it is digested alone, as a whole line of so few words is. Those short ones
-go if an earlier document holds them, but may be repeated inside a document. Digests are grouped
+text up to that number, so common short sentences count only in the same surroundings. Near the start of
+a text there are too few words before it. With `alone` it is then digested alone, as a whole line of so few words is; those short ones
+go if an earlier document holds them, but may be repeated inside a document. Without `alone` the words after
+it make up the number, so every unit has a digest, copies of a text go whole, and a short line that many texts hold
+(a licence, a title) stays where its surroundings are others. Digests are grouped
 over all documents; the occurrence that ranks first (least id, then place) stays, all others
 are removed. Ranges removed and kept keep their code points in the original text.
 
 The grouping is a pre-aggregated minimum by digest, so a line that a third of all documents
-hold is one row from each task; only digests that occur twice are joined back.
+hold is one row from each task. Digests that occur twice are written and joined back, by a join whose hot digests Spark can
+split, as both sides are plain tables.
 """
 
 from __future__ import annotations
@@ -47,9 +50,33 @@ def _digest(words: list[bytes], mark: bytes = b"") -> tuple[int, int]:
     return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
 
 
-def digests(text: str, level: str, sentences: bool, least: int) -> list[tuple[int, int, int, int, int]]:
+def _surrounded(text: str, level: str, sentences: bool, least: int) -> list[tuple[int, int, int, int, int]]:
+    """As digests, where a short unit counts with the words around it."""
+    lines, flat = [], []
+    for m in (_LINE if level == "line" else _PARAGRAPH).finditer(text):
+        found = []
+        for s, e in units(m.group(), level, sentences):
+            words = m.group()[s:e].encode("utf-8").lower().split()
+            if words:
+                found.append((m.start() + s, m.start() + e, len(flat), len(flat) + len(words)))
+                flat += words
+        lines.append((m.span(), found))
+    out = []
+    for span, found in lines:
+        for s, e, a, b in found:
+            first = a if b - a >= least else max(0, b - least)
+            last = max(b, min(len(flat), first + least))
+            out.append((s, e, *_digest(flat[first:last], b"" if (first, last) == (a, b) else b"\0%d+%d" % (a - first, b - a)), False))
+        if len(found) > 1 and found[-1][3] - found[0][2] >= least:
+            out.append((*span, *_digest(flat[found[0][2] : found[-1][3]]), False))
+    return out
+
+
+def digests(text: str, level: str, sentences: bool, least: int, alone: bool = True) -> list[tuple[int, int, int, int, int]]:
     """(start, end, digest high, digest low, short) of the units and whole lines that have words; short: fewer than `least` words,
     digested alone. A line is left out where its only unit has the same digest."""
+    if not alone:
+        return _surrounded(text, level, sentences, least)
     out, before = [], []
     for m in (_LINE if level == "line" else _PARAGRAPH).finditer(text):
         whole: list[bytes] = []
@@ -70,12 +97,12 @@ def digests(text: str, level: str, sentences: bool, least: int) -> list[tuple[in
     return out
 
 
-def _units(level: str, sentences: bool, least: int):
+def _units(level: str, sentences: bool, least: int, alone: bool):
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 texts = pc.fill_null(part.column("text"), "").to_pylist()
-                found = [digests(t, level, sentences, least) for t in texts]
+                found = [digests(t, level, sentences, least, alone) for t in texts]
                 n = [len(x) for x in found]
                 flat = np.array([u for x in found for u in x], np.int64).reshape(-1, 5)
                 ids = np.repeat(np.asarray(part.column("id").to_numpy(zero_copy_only=False)), n)
@@ -84,7 +111,7 @@ def _units(level: str, sentences: bool, least: int):
     return run
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: str = "line", sentences: bool = True, least: int = LEAST) -> DataFrame:
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: str = "line", sentences: bool = True, least: int = LEAST, alone: bool = True) -> DataFrame:
     """(id, start, end, first_id, first_start) of each unit that occurred before, in code points.
 
     A line that occurred before and its units that did are a row each, so ranges may lie in one another.
@@ -92,17 +119,18 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null id, and rows that repeat an id, count by id: equal places of one id are one
     occurrence, so repeated rows do not remove each other.
     """
-    u = two(docs, id_col, text_col).where("id is not null").mapInArrow(_units(level, sentences, least), "id long, s long, e long, h long, l long, short boolean")
+    u = two(docs, id_col, text_col).where("id is not null").mapInArrow(_units(level, sentences, least, alone), "id long, s long, e long, h long, l long, short boolean")
     u = stored(u, "units")
     first = u.groupBy("h", "l").agg(F.min(F.struct("id", "s")).alias("f"), F.max(F.struct("id", "s")).alias("g")).where("f <> g").select("h", "l", F.col("f.id").alias("first_id"), F.col("f.s").alias("first_start"))
+    first = stored(first, "digests")
     return u.join(first, ["h", "l"]).where("id <> first_id or not short and s <> first_start").select("id", F.col("s").alias("start"), F.col("e").alias("end"), "first_id", "first_start")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: str = "line", sentences: bool = True, least: int = LEAST) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: str = "line", sentences: bool = True, least: int = LEAST, alone: bool = True) -> DataFrame:
     """(id, text, removed, kept) of the documents that lose something: the text without repeated units, and
     both sides' ranges (start, end) in the original's code points. A document's units are gathered
     for that document alone. Rows that repeat an id are each cut alike."""
-    gone = repeated_units(docs, id_col, text_col, level, sentences, least).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    gone = repeated_units(docs, id_col, text_col, level, sentences, least, alone).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
     both = two(docs, id_col, text_col).join(gone, "id")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -127,6 +155,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every removed unit: doc_id, its range, and the occurrence that stays."""
-    out = repeated_units(table(spark, sf_dir, "documents"))
+    """Every removed unit: doc_id, its range, and the occurrence that stays. Short units count in their surroundings."""
+    out = repeated_units(table(spark, sf_dir, "documents"), alone=False)
     return out.select(F.col("id").alias("doc_id"), "start", "end", F.col("first_id").alias("first_doc_id"), "first_start")
