@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from itertools import chain, islice
+from array import array
+from itertools import chain, islice, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ SPACE = "▁"
 #: Marks a cut without a space in front; a lone surrogate is in no text.
 BARE = "\udc00"
 #: Distinct cuts that a worker keeps; beyond that half of them stay.
-KEPT = 400_000
+KEPT = 1_000_000
 
 
 class CharMap:
@@ -64,6 +66,59 @@ class CharMap:
         return found[0], self.strings[found[1] : end]
 
 
+class Pieces(NamedTuple):
+    """A text's ids, the source bytes [start, end) of each, the ids in decimals, and the text that they decode to."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    decimal: np.ndarray
+    decoded: np.ndarray
+
+
+class CutTable:
+    """A bounded table from cuts to several strings of bytes each, which Arrow gathers for many texts at once."""
+
+    def __init__(self, kept: int, columns: int):
+        self.kept, self.known = kept, {}
+        self.data, self.ends = [bytearray() for _ in range(columns)], [array("q", [0]) for _ in range(columns)]
+
+    def add(self, cuts: list[str], columns: list[tuple[np.ndarray, bytes]]) -> None:
+        self.known.update(zip(cuts, range(len(self.known), len(self.known) + len(cuts)), strict=True))
+        for data, ends, (sizes, new) in zip(self.data, self.ends, columns, strict=True):
+            ends.frombytes((np.cumsum(sizes) + len(data)).astype(np.int64).tobytes())
+            data += new
+
+    def places(self, cuts: list[str], learn) -> np.ndarray:
+        place = np.fromiter(map(self.known.get, cuts, repeat(-1)), np.int64, len(cuts))
+        if len(self.known) + np.count_nonzero(place < 0) > self.kept or sum(map(len, self.data)) > 128 * self.kept:
+            # the cuts met first are the frequent ones: half of the table stays
+            half = min(self.kept, len(self.known)) // 2
+            while half and sum(ends[half] for ends in self.ends) > 64 * self.kept:
+                half //= 2
+            self.known = dict(islice(self.known.items(), half))
+            for data, ends in zip(self.data, self.ends, strict=True):
+                del data[ends[half] :], ends[half + 1 :]
+            place[place >= half] = -1
+        new = np.flatnonzero(place < 0)
+        for i in range(0, len(new), 50_000):
+            start = len(self.known)
+            learn([cuts[j] for j in new[i : i + 50_000].tolist()])
+            place[new[i : i + 50_000]] = np.arange(start, len(self.known))
+        return place
+
+    def gathered(self, column: int, places: np.ndarray, index: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of a column for cuts in the order of texts, and where each text's begin."""
+        ends, data = np.frombuffer(self.ends[column], np.int64), np.frombuffer(self.data[column], np.uint8)
+        start, n = ends[places], ends[places + 1] - ends[places]
+        last = np.cumsum(n)
+        own = data[np.repeat(start - (last - n), n) + np.arange(last[-1] if len(last) else 0)]
+        strings = pa.BinaryArray.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(np.concatenate(([0], last)).astype(np.int32)), pa.py_buffer(own.tobytes())])
+        taken = strings.take(index)
+        offsets = np.frombuffer(taken.buffers()[1], np.int32, len(index) + 1)
+        return np.frombuffer(taken.buffers()[2], np.uint8, int(offsets[-1])), offsets[at].astype(np.int64)
+
+
 class Codec:
     """A model with its normaliser, alignment, bounded table of cuts, and decoder."""
 
@@ -86,7 +141,8 @@ class Codec:
         self.whole = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.identity = not self.map.units
         self.widths = np.array([1 if self.plain.IsByte(i) else len(self.plain.IdToPiece(i).encode("utf-8")) for i in range(self.plain.GetPieceSize())], np.int64)
-        self.kept, self.known = kept, {}
+        self.table = CutTable(kept, 4)
+        self.decimals = pa.array([f"{i},".encode() for i in range(len(self.widths))], pa.binary())
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its bytes (and its end) the source byte."""
@@ -145,26 +201,55 @@ class Codec:
         parts = re.findall(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+", text)
         return [x[1:] if x[0] == SPACE else BARE + x for x in parts], source
 
-    def _learn(self, lists: list[list[str]]) -> None:
-        new = [x for x in set(chain.from_iterable(lists)) if x not in self.known]
-        if len(self.known) + len(new) > self.kept:
-            # the cuts met first are the frequent ones: half of the table stays
-            self.known = dict(islice(self.known.items(), self.kept // 2))
-            new = [x for x in set(chain.from_iterable(lists)) if x not in self.known]
-        coded = self.plain.encode([x[1:] if x[:1] == BARE else SPACE + x for x in new], num_threads=1)
-        for x, ids in zip(new, coded, strict=True):
-            self.known[x] = (np.array(ids, np.uint32).tobytes(), ",".join(map(str, ids)))
-
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str, np.ndarray | None]]:
-        """Ids, ids as decimals joined by commas, and the alignment of each text."""
-        both = [self.cuts(t) for t in texts]
-        self._learn([p for p, _ in both])
-        out = []
-        for parts, source in both:
-            got = [self.known[p] for p in parts]
-            out.append((np.frombuffer(b"".join([g[0] for g in got]), np.uint32), ",".join([g[1] for g in got if g[1]]), source))
+    def _learn(self, new: list[str]) -> None:
+        """Adds cuts to the table: ids, ids as decimals with a comma behind each, source bytes of each piece (the space in
+        front counted), and what the ids decode to, with the space in front."""
+        coded = self.plain.encode([SPACE + x for x in new], num_threads=1)
+        n = np.fromiter(map(len, coded), np.int64, len(coded))
+        ids = np.fromiter(chain.from_iterable(coded), np.int64, int(n.sum()))
+        source = " ".join(new).replace(SPACE, " ")
+        starts, ends = self.spans(source, ids, None)
+        wide = ends - starts
+        wide[0] += 1  # the one cut without a space in front of it here
+        decoded = [b" " + x.encode("utf-8") for x in self.whole.decode(coded, num_threads=1)]
+        decimal = self.decimals.take(pa.array(ids))
+        edge = np.concatenate(([0], np.cumsum(n)))
+        size = np.diff(np.frombuffer(decimal.buffers()[1], np.int32, len(decimal) + 1)[edge])
+        self.table.add(new, [(n * 4, ids.astype(np.uint32).tobytes()), (n * 4, wide.astype(np.uint32).tobytes()), (size, decimal.buffers()[2].to_pybytes() if len(ids) else b""), (np.fromiter(map(len, decoded), np.int64, len(decoded)), b"".join(decoded))])
+
+    def pieces(self, texts: pa.Array) -> list[Pieces]:
+        """What becomes of each text: texts whose spaces stand alone are cut together and their pieces gathered from the
+        table; others are normalised one by one."""
+        odd = np.asarray(pc.match_substring_regex(texts, f"^$|^ | $|  |{SPACE}")) if self.identity and not self.strip and self.dummy else np.ones(len(texts), bool)
+        out: list[Pieces | None] = [None] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._one(texts[i].as_py())
+        good = np.flatnonzero(~odd)
+        if len(good):
+            lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+            at = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))))
+            coded = lists.flatten().dictionary_encode()
+            places = self.table.places(coded.dictionary.to_pylist(), self._learn)
+            ids, wide, decimal, decoded = (self.table.gathered(c, places, coded.indices, at) for c in range(4))
+            edge = ids[1] // 4
+            flat, w = ids[0].view(np.uint32), wide[0].view(np.uint32).astype(np.int64)
+            w[edge[:-1]] -= 1  # a text's first piece has no space in front
+            upto = np.cumsum(w)
+            for k, i in enumerate(good.tolist()):
+                a, b = edge[k], edge[k + 1]
+                ends = upto[a:b] - (upto[a] - w[a])
+                out[i] = Pieces(flat[a:b], ends - w[a:b], ends, decimal[0][decimal[1][k] : decimal[1][k + 1] - 1], decoded[0][decoded[1][k] + 1 : decoded[1][k + 1]])
         return out
 
+    def _one(self, text: str) -> Pieces:
+        """A text by itself, through its own alignment."""
+        parts, source = self.cuts(text)
+        coded = self.plain.encode([x[1:] if x[:1] == BARE else SPACE + x for x in parts], num_threads=1)
+        ids = np.fromiter(chain.from_iterable(coded), np.uint32)
+        starts, ends = self.spans(text, ids, source)
+        said = np.frombuffer(",".join(map(str, ids.tolist())).encode(), np.uint8)
+        return Pieces(ids, starts, ends, said, np.frombuffer(self.decode([ids])[0].encode("utf-8"), np.uint8))
+
     def spans(self, text: str, ids: np.ndarray, source: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Source bytes [start, end) of each piece. The added prefix has no bytes of its
         own; a byte piece that is part of a character gets its single byte."""
@@ -202,15 +287,8 @@ def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).astype(kind)))
 
 
-def _projected(c: Codec, texts: list[str]):
-    """What Codec.encode gives, and the starts and the ends of each text's pieces."""
-    got = c.encode(texts)
-    spans = [c.spans(t, ids, source) for t, (ids, _, source) in zip(texts, got, strict=True)]
-    return got, [x for x, _ in spans], [x for _, x in spans]
-
-
-def _texts(part: pa.RecordBatch) -> list[str]:
-    return pc.fill_null(part.column("text"), "").to_pylist()
+def _pieces(c: Codec, part: pa.RecordBatch) -> list[Pieces]:
+    return c.pieces(pa.array(pc.fill_null(part.column("text"), "")))
 
 
 def encode_pieces(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,8 +305,8 @@ def encode_pieces(docs: DataFrame, model_file: str | None = None, id_col: str =
         c = codec(path)
         for batch in batches:
             for part in slices(batch):
-                got, starts, ends = _projected(c, _texts(part))
-                yield pa.RecordBatch.from_arrays([part.column("id"), _lists([g[0] for g in got], np.int32), _lists(starts, np.int64), _lists(ends, np.int64)], ["id", "ids", "starts", "ends"])
+                got = _pieces(c, part)
+                yield pa.RecordBatch.from_arrays([part.column("id"), _lists([g.ids for g in got], np.int32), _lists([g.starts for g in got], np.int64), _lists([g.ends for g in got], np.int64)], ["id", "ids", "starts", "ends"])
 
     return two(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>, starts array<long>, ends array<long>")
 
@@ -252,19 +330,21 @@ def piece_digests(docs: DataFrame, model_file: str | None = None, id_col: str =
     digest of all starts and then all ends as little-endian 64-bit numbers."""
     path = model_file or default_model()
 
-    def sha(x: str) -> str:
-        return hashlib.sha256(x.encode("utf-8")).hexdigest()
+    def sha(*parts: np.ndarray) -> str:
+        h = hashlib.sha256()
+        for x in parts:
+            h.update(np.ascontiguousarray(x))
+        return h.hexdigest()
 
     def run(batches):
         c = codec(path)
         for batch in batches:
             for part in slices(batch):
-                got, starts, ends = _projected(c, _texts(part))
-                ids = [g[0] for g in got]
-                back = c.decode(ids)
-                covered = [int((e - s).sum()) for s, e in zip(starts, ends, strict=True)]
-                spans = [hashlib.sha256(s.astype("<i8").tobytes() + e.astype("<i8").tobytes()).hexdigest() for s, e in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(g[1]) for g in got]), pa.array([sha(x) for x in back]), pa.array(covered, pa.int64()), pa.array(spans)], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "spans_sha256"])
+                got = _pieces(c, part)
+                n = pa.array([len(g.ids) for g in got], pa.int64())
+                covered = pa.array([int((g.ends - g.starts).sum()) for g in got], pa.int64())
+                digests = [pa.array([sha(*parts) for parts in column]) for column in (((g.decimal,) for g in got), ((g.decoded,) for g in got), ((g.starts.astype("<i8", copy=False), g.ends.astype("<i8", copy=False)) for g in got))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), n, *digests[:2], covered, digests[2]], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "spans_sha256"])
 
     return two(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long, spans_sha256 string")
 
@@ -277,9 +357,8 @@ def encoded_documents(docs: DataFrame, model_file: str | None = None) -> DataFra
         c = codec(path)
         for batch in batches:
             for part in slices(batch):
-                got, starts, ends = _projected(c, _texts(part))
-                ids = [g[0] for g in got]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("source"), pa.array([len(x) for x in ids], pa.int64()), _lists(ids, np.int32), _lists(starts, np.int64), _lists(ends, np.int64)], ["doc_id", "lang", "source", "n_tokens", "ids", "starts", "ends"])
+                got = _pieces(c, part)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("source"), pa.array([len(g.ids) for g in got], pa.int64()), _lists([g.ids for g in got], np.int32), _lists([g.starts for g in got], np.int64), _lists([g.ends for g in got], np.int64)], ["doc_id", "lang", "source", "n_tokens", "ids", "starts", "ends"])
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(lang as string) as lang", "cast(source as string) as source", "cast(text as string) as text").mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, starts array<long>, ends array<long>")
 
