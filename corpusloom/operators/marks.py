@@ -233,6 +233,28 @@ def listed_flags(text: str, stoplist: set[str]) -> list[bool]:
     return out
 
 
+def marked_by(fn, batched: bool = False):
+    """A pandas UDF that marks lines with a callback str -> str. Batched, the lines of a batch go to it at once, one under
+    the other; where it fails or gives another number of lines, they go one by one, and a line that fails stays unmarked."""
+
+    def one(text: str) -> str:
+        try:
+            return fn(text)
+        except Exception:  # a line that the callback cannot mark counts as unmarked
+            return text
+
+    @F.pandas_udf(T.StringType())
+    def run(lines: pd.Series) -> pd.Series:
+        texts = [t or "" for t in lines]
+        if batched and not any("\n" in t for t in texts):
+            out = one("\n".join(texts)).split("\n")
+            if len(out) == len(texts) and out != texts:
+                return pd.Series(out)
+        return pd.Series([one(t) for t in texts])
+
+    return run
+
+
 def scored_positions(lines: DataFrame, scanned: str, marked: str, pred: str, stoplist: list[str], *keep: str) -> DataFrame:
     """(keep..., ordinal, g, p): marked letters of open syllables outside the stoplist, with the mark that a
     prediction gives the same letter (null: none). The stoplist is a short list of words, sent to the workers."""

@@ -31,6 +31,13 @@ def record_zone(source: Column, tier: Column, rid: Column, numbered: tuple[str,
     return F.when(source.isin(*numbered), digit).when(tier == rotating, -1).otherwise(TRAIN)
 
 
+def digit_faults(zones: DataFrame, rid: str = "doc_id", zone: str = "zone") -> DataFrame:
+    """(zone, wanted, n): rows whose zone is not the one that their id's last character asks for."""
+    d = last_digit(F.col(rid))
+    wanted = F.when(d == "3", TEST).when(d == "4", VAL).otherwise(TRAIN)
+    return zones.withColumn("wanted", wanted).where(F.col(zone) != F.col("wanted")).groupBy(zone, "wanted").agg(F.count("*").alias("n"))
+
+
 def base_id(rid: Column) -> Column:
     """An id without what follows #, and then without what follows its first underscore."""
     return F.split_part(F.split_part(rid, F.lit("#"), F.lit(1)), F.lit("_"), F.lit(1))

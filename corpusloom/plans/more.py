@@ -3,13 +3,12 @@ sources, conversations for sentences of words, benchmark items for held-out reco
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import planes as P
 from ..functions import text as T
-from ..operators import conll, decontam, dedup, folds, marks, metre, noise, reports, sampling, selection, trees, ud
-from ..operators.scratch import fresh, shared_dir, stored
+from ..operators import conll, dedup, folds, marks, metre, noise, reports, sampling, selection, trees, ud
+from ..operators.scratch import fresh, stored
 from ..sources import readers
 from .registry import grams, query, seed, skel, table, wlist
 
@@ -489,3 +488,146 @@ def split_gram_pairs(spark, d):
 def prefix_edges(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
     return dedup.prefix_edges(docs, "source").join(docs.withColumnRenamed("doc_id", "b"), "b").select("source", "a", "b")
+
+
+# --- letters, marks, treebanks
+
+_GREEK = "translate({0}, 'abcdefghijklmnopqrstuvwxyzßæœ', 'αβγδεφγηιικλμνοπκρστυβωξυζσεε')"
+_GREEKSQL = _GREEK.format("strip_accents(lower(text))")
+
+
+def _greek(spark, d, *keep):
+    return table(spark, d, "documents").select("doc_id", *keep, F.translate(T.fold(F.col("text")), "abcdefghijklmnopqrstuvwxyzßæœ", "αβγδεφγηιικλμνοπκρστυβωξυζσεε").alias("t"))
+
+
+@query(f"select doc_id, cast(length(regexp_replace(t, '[^α]', '', 'g')) as bigint) as n_long, cast(length(regexp_replace(t, '[^ι]', '', 'g')) as bigint) as n_short, md5(t) as plain_md5 from (select doc_id, replace(replace({_GREEKSQL}, '_', ''), '^', '') as t from documents)")
+def length_labels(spark, d):
+    """Texts with a mark behind every alpha and iota, read back into plain text and labels."""
+    t = F.regexp_replace("t", "[_^]", "")
+    m = _greek(spark, d).select("doc_id", marks.length_labels(F.regexp_replace(F.regexp_replace(t, "α", "α_"), "ι", "ι^")).alias("x"))
+    count = lambda c: F.size(F.filter(F.map_values("x.labels"), lambda v: v == c)).cast("long")
+    return m.select("doc_id", count(marks.LONG).alias("n_long"), count(marks.SHORT).alias("n_short"), F.md5("x.plain").alias("plain_md5"))
+
+
+_GW = f"regexp_extract_all({_GREEKSQL}, '[α-ω]+')"
+
+
+@query(f"select doc_id, cast(len(list_filter(w[1:len(w) - 1], lambda x: length(x) % 2 = 0)) as bigint) as heavy, cast(len(list_filter(w[1:len(w) - 1], lambda x: length(x) % 2 = 1)) as bigint) as light, cast(1 as bigint) as verse from (select doc_id, {_GW} as w from documents) where len(w) > 0")
+def scansion_labels(spark, d):
+    """Words as syllables, heavy if they have an even number of letters."""
+    words = F.regexp_extract_all("t", F.lit("[α-ω]+"), F.lit(0))
+    line = F.array_join(F.transform(words, lambda w: F.when(F.length(w) % 2 == 0, F.concat(F.lit("["), w, F.lit("]"))).otherwise(F.concat(F.lit("{"), w, F.lit("}")))), " ")
+    m = _greek(spark, d).select("doc_id", marks.scansion_labels(line).alias("x")).where("x is not null")
+    count = lambda c: F.size(F.filter(F.map_values("x.labels"), lambda v: v == c)).cast("long")
+    return m.select("doc_id", count(marks.HEAVY).alias("heavy"), count(marks.LIGHT).alias("light"), count(marks.VERSE).alias("verse"))
+
+
+@query(f"select lang, count(*) as n, round(avg(case when a % 3 = 0 then 1 else 0 end), 6) as raw, round(avg(case when g = 1 then 1 else 0 end), 6) as trivial, count(*) filter (where a % 3 = 1) as unpredicted from (select lang, doc_id as a, doc_id % 2 as g from documents) group by lang")
+def default_scores(spark, d):
+    pairs = table(spark, d, "documents").select("lang", (F.col("doc_id") % 2).alias("g"), F.expr("case doc_id % 3 when 0 then doc_id % 2 when 2 then 1 - doc_id % 2 end").alias("p"))
+    return marks.default_report(pairs, "lang").select("lang", "n", F.round("raw", 6).alias("raw"), F.round("trivial", 6).alias("trivial"), "unpredicted")
+
+
+@query("""with p as (select lang, cast(doc_id % 4 as integer) as g, cast((doc_id // 4) % 4 as integer) as p from documents), r as (select lang, g, count(*) as n, count(*) filter (where g = p) as k from p group by 1, 2), b as (select lang, avg(k / n) as bal from r group by lang)
+ select lang, count(*) as n, round(avg((g = p)::int), 6) as acc, round(any_value(bal), 6) as bal_acc, round(2 * count(*) filter (where g > 0 and p > 0) / (count(*) filter (where g > 0) + count(*) filter (where p > 0)), 6) as boundary_f1, round(count(*) filter (where g in (1, 2) and g = p) / count(*) filter (where g in (1, 2) and p in (1, 2)), 6) as weight_acc from p join b using (lang) group by lang""")
+def scansion_scores(spark, d):
+    pairs = table(spark, d, "documents").select("lang", (F.col("doc_id") % 4).alias("g"), (F.floor(F.col("doc_id") / 4) % 4).alias("p"))
+    s = marks.scansion_scores(pairs, "lang")
+    return s.select("lang", "n", *(F.round(c, 6).alias(c) for c in ("acc", "bal_acc", "boundary_f1", "weight_acc")))
+
+
+_XPOS = "substr('nvadr', cast(doc_id % 5 + 1 as integer), 1) || '-' || substr('spd', cast(doc_id % 3 + 1 as integer), 1) || '---' || substr('mfn-', cast(doc_id % 4 + 1 as integer), 1) || substr('nga', cast(doc_id % 3 + 1 as integer), 1) || '-'"
+
+
+@query("""select doc_id, case doc_id % 5 when 0 then 'NOUN' when 1 then 'VERB' when 2 then 'ADJ' when 3 then 'ADV' else 'ADP' end as upos,
+ 'Case=' || case doc_id % 3 when 0 then 'Nom' when 1 then 'Gen' else 'Acc' end || case doc_id % 4 when 0 then '|Gender=Masc' when 1 then '|Gender=Fem' when 2 then '|Gender=Neut' else '' end || '|Number=' || case doc_id % 3 when 0 then 'Sing' when 1 then 'Plur' else 'Dual' end as feats from documents""")
+def tag_features(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.expr(_XPOS.replace("integer", "int")).alias("x"))
+    return t.select("doc_id", ud.upos(F.col("x")).alias("upos"), ud.feature_string(ud.features(F.col("x"))).alias("feats"))
+
+
+_TOKENS = "select conv_id, turn, list_filter(regexp_split_to_array(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' +'), lambda x: x <> '') as w from conversations"
+
+
+@query(f"""with t as ({_TOKENS}), k as (select conv_id, turn, unnest(range(1, len(w) + 1)) as i from t where len(w) > 1), s as (select count(distinct conv_id * 1000 + turn) as n from k),
+ m(measure, a, b, c) as (select 'Tokens', count(*), count(*), count(*) from k union all select 'Words', count(*), count(*), count(*) from k union all select 'Sentences', n, n, n from s
+ union all select 'UPOS', count(*), count(*), count(*) filter (where i % 3 <> 0) from k union all select 'XPOS', count(*), count(*), count(*) from k union all select 'UFeats', count(*), count(*), count(*) from k
+ union all select 'AllTags', count(*), count(*), count(*) filter (where i % 3 <> 0) from k union all select 'Lemmas', count(*), count(*), count(*) filter (where i % 5 <> 0) from k
+ union all select 'UAS', count(*), count(*), count(*) from k union all select 'LAS', count(*), count(*), count(*) filter (where i = 1 or i % 4 <> 0) from k
+ union all select 'CLAS', count(*), count(*), count(*) filter (where i = 1 or i % 4 <> 0) from k union all select 'MLAS', count(*), count(*), count(*) filter (where (i = 1 or i % 4 <> 0) and i % 3 <> 0) from k
+ union all select 'BLEX', count(*), count(*), count(*) filter (where (i = 1 or i % 4 <> 0) and i % 5 <> 0) from k)
+ select measure, a as gold, b as system, c as correct, round(2 * c / (a + b), 6) as f1 from m""")
+def treebank_scores(spark, d):
+    """Turns as sentences under their first word; the other side has some tags, lemmas and relations changed."""
+    words = F.filter(F.split(F.regexp_replace("text", "[^a-zA-Z ]", ""), " +"), lambda x: x != "")
+    t = table(spark, d, "conversations").select("conv_id", "turn", words.alias("w")).where("size(w) > 1")
+
+    def side(changed: bool):
+        def line(w, i):
+            i = i + 1
+            if_ = lambda test, a, b: F.when(test, a).otherwise(b) if changed else F.lit(b)
+            lemma = F.when((i % 5 == 0) & F.lit(changed), F.lit("other")).otherwise(F.lower(w))
+            return F.concat_ws("\t", i.cast("string"), w, F.concat(lemma, F.lit("x")), if_(i % 3 == 0, "NOUN", "VERB"), F.lit("v"), F.lit("_"), F.when(i == 1, "0").otherwise("1"), F.when(i == 1, "root").otherwise(if_(i % 4 == 0, "obj", "obl")), F.lit("_"), F.lit("_"))
+
+        text = F.concat(F.array_join(F.transform("w", line), "\n"), F.lit("\n\n"))
+        return t.select(F.concat_ws("-", "conv_id", "turn").alias("doc"), text.alias("text"))
+
+    s = conll.treebank_scores(side(False), side(True))
+    return s.select("measure", "gold", "system", "correct", F.round("f1", 6).alias("f1"))
+
+
+_BITS = " + ".join(f"(doc_id >> {k}) % 2" for k in range(5))
+
+
+@query(f"select doc_id, 'hex' as metre, true as applied, cast(6 + {_BITS} as bigint) as heavy, cast(2 * (5 - ({_BITS})) as bigint) as light, cast(1 as bigint) as verse from documents")
+def verse_readings(spark, d):
+    """Hexameters whose feet follow the bits of an id, two letters a syllable, read without being told the metre."""
+    feet = F.concat(*[F.when(F.shiftright("doc_id", k) % 2 == 0, "HLL").otherwise("HH") for k in range(5)], F.lit("H"))
+    sure = lambda k: F.array(*[F.lit(0.0 if i == k else -9.0) for i in range(4)])
+    rows = F.transform(F.filter(F.split(feet, ""), lambda c: c != ""), lambda c: F.array(sure(0), F.when(c == "H", sure(1)).otherwise(sure(2))))
+    logp = F.concat(F.flatten(rows), F.array(sure(0), sure(3)))
+    r = stored(table(spark, d, "documents").select("doc_id", logp.alias("p")), "verses").select("doc_id", metre.gated_readings()("p", F.lit(None).cast("string")).alias("x"))
+    count = lambda c: F.size(F.filter("x.labels", lambda v: v == c)).cast("long")
+    return r.select("doc_id", F.col("x.metre").alias("metre"), F.col("x.applied").alias("applied"), count(1).alias("heavy"), count(2).alias("light"), count(3).alias("verse"))
+
+
+@query("select 10 as zone, 11 as wanted, count(*) as n from documents where doc_id % 10 = 4 having count(*) > 0 union all select 12, 10, count(*) from documents where doc_id % 10 = 3 having count(*) > 0")
+def digit_faults(spark, d):
+    """The digit rule against zones that were given by the digit less one."""
+    z = table(spark, d, "documents").select("doc_id", F.expr("case when doc_id % 10 = 4 then 10 else 12 end").alias("zone"))
+    return selection.digit_faults(z)
+
+
+@query("select lang, count(*) as n, round(avg(case when doc_id % 7 = 0 or doc_id % 2 = 0 then 1 else 0 end), 6) as xpos, round(avg(case when doc_id % 3 = 0 and doc_id % 5 <> 0 then 1 else 0 end), 6) as script from documents group by lang")
+def native_scores(spark, d):
+    w = table(spark, d, "documents").select("lang", F.expr("if(doc_id % 7 = 0, -100, 1)").alias("gold_xpos"), F.expr("if(doc_id % 2 = 0, 1, 2)").alias("pred_xpos"), F.expr("if(doc_id % 5 = 0, -100, 1)").alias("gold_script"), F.expr("if(doc_id % 3 = 0, 1, 2)").alias("pred_script"), *[F.lit(1).alias(f"{s}_{c}") for s in ("gold", "pred") for c in ("upos", "head", "deprel")])
+    return conll.native_scores(w, "lang").select("lang", "n", F.round("xpos", 6).alias("xpos"), F.round("script", 6).alias("script"))
+
+
+@query("select cast(count(*) as bigint) as n, round(avg((source in (select source from documents where doc_id % 5 = 0))::int), 6) as form, round(avg((lang in ('en', 'fr'))::int), 6) as tag from documents")
+def vocabulary_coverage(spark, d):
+    t = table(spark, d, "documents").select(F.lit("s").alias("script"), F.col("lang").alias("tag"), F.col("source").alias("key"), F.col("lang").alias("lemma"), "doc_id")
+    c = conll.coverage(t, t.select("script"), t.where("tag in ('en', 'fr')").select("tag"), t.where("doc_id % 5 = 0").select("key"), t.select("key", "lemma"))
+    return c.select("n", F.round("form", 6).alias("form"), F.round("tag", 6).alias("tag"))
+
+
+@query("select source, lang as lemma, count(*) as n from documents group by 1, 2")
+def lexicon_counts(spark, d):
+    return trees.lexicon(table(spark, d, "documents").select("source", F.col("lang").alias("lemma")), "source")
+
+
+@query("select source as form, lang as lemma, 'u' as upos, 'x' as xpos from (select source, lang, row_number() over (partition by source order by count(*) desc, lang) as r from documents group by 1, 2) where r = 1")
+def rule_table(spark, d):
+    return trees.rule_table(table(spark, d, "documents").select(F.col("source").alias("form"), F.col("lang").alias("lemma"), F.lit("u").alias("upos"), F.lit("x").alias("xpos")))
+
+
+@query("select sent, dep, head from (select conv_id as sent, turn as dep, cast(length(text) % 5 as integer) as head, row_number() over (partition by conv_id, turn order by length(text) desc, length(text) % 5) as r from conversations) where r = 1")
+def greedy_heads(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("sent"), F.col("turn").alias("dep"), (F.length("text") % 5).alias("head"), F.length("text").cast("double").alias("score"))
+    return trees.greedy_heads(c)
+
+
+@query("select band, count(*) as n, round(avg(levenshtein(replace(g, ' ', ''), replace(p, ' ', '')) / greatest(length(replace(g, ' ', '')), 1)), 6) as cer from (select case when length(g) between 1 and 5 then '1-5' when length(g) between 6 and 10 then '6-10' when length(g) between 11 and 20 then '11-20' end as band, g, p from (select n_name as g, r_name as p from nation join region on n_regionkey = r_regionkey)) group by band")
+def letter_errors(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.groupBy(reports.length_band(F.length("n_name")).alias("band")).agg(F.count("*").alias("n"), F.round(F.avg(reports.letters_error(F.col("n_name"), F.col("r_name"))), 6).alias("cer"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.planes import planes
-from ..operators import decontam, dedup, folds, metrics, reports, sampling, trees
+from ..operators import decontam, dedup, folds, metrics, sampling, trees
 from ..operators.scratch import fresh
 from ..sources import readers
 from ..streaming.decontam import run_stream
@@ -192,7 +192,13 @@ def oversize_units(spark, d):
     return dedup.oversize_units(docs, 52, 10, "lang")
 
 
-@query()
+_UNITS = SQL["oversize_units"]
+
+
+@query(f"""with recursive u as (select unit, n_words, row_number() over (order by n_words desc, unit) as i from ({_UNITS})),
+ r as (select 0::bigint as i, ''::varchar as unit, 0::bigint as n_words, -1 as bucket, list_transform(range(10), lambda x: 0::bigint) as loads
+ union all select u.i, u.unit, u.n_words, cast(list_position(loads, list_min(loads)) - 1 as integer), list_transform(loads, lambda x, k: case when k = list_position(loads, list_min(loads)) then x + u.n_words else x end) from r join u on u.i = r.i + 1)
+ select unit, n_words, bucket from r where i > 0""")
 def bin_pack_buckets(spark, d):
     return dedup.pack_buckets(oversize_units(spark, d))
 
@@ -397,7 +403,13 @@ def offset_contiguity(spark, d):
     return folds.store_faults(store, docs, [r.tier for r in docs.select("tier").distinct().orderBy("tier").collect()], loss_percent=2)
 
 
-@query()
+_PACKED = """with recursive o as (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id) as i from documents where n_chars <= 8192),
+ r as (select source, doc_id, i, n_chars, cast(0 as bigint) as row_id, cast(0 as bigint) as "offset" from o where i = 1
+ union all select o.source, o.doc_id, o.i, o.n_chars, case when r."offset" + r.n_chars + o.n_chars > 8192 then r.row_id + 1 else r.row_id end, case when r."offset" + r.n_chars + o.n_chars > 8192 then 0 else r."offset" + r.n_chars end from r join o on o.source = r.source and o.i = r.i + 1)
+ select source, doc_id, row_id, "offset" from r"""
+
+
+@query(_PACKED)
 def greedy_packing(spark, d):
     return sampling.greedy_packing(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 8192)
 
@@ -486,7 +498,9 @@ def similarity_error(spark, d):
     return _turns(spark, d).select("conv_id", "turn", metrics.similarity_error("gold", "pred").alias("error"))
 
 
-@query()
+@query(f"""with f as (select distinct unnest({wlist()}) as form from documents), p as (select form, regexp_replace(form, '(s|en|es|er)$', '') as lemma from f),
+ n as (select '[0, "", ' || (length(form) - length(lemma)) || ', "", false]' as script, count(*) as n from p where lemma <> '' group by 1)
+ select script, n, row_number() over (order by n desc, script) as rank from n""")
 def edit_scripts(spark, d):
     w = table(spark, d, "documents").select(F.explode(F.array_distinct(T.words(T.skeleton(F.col("text"))))).alias("form")).distinct()
     pairs = w.select("form", F.regexp_replace("form", "(s|en|es|er)$", "").alias("lemma")).where("lemma <> ''")
