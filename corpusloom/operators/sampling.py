@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 
 def seeded(rid: Column, seed: int) -> Column:
     """A number in [0, 2**32) that any engine can compute."""
@@ -37,9 +39,15 @@ def gaps(docs: DataFrame, lengths: list[int], text: str = "text", margin: int =
 
 
 def offsets(rows: DataFrame, group: str, order: str, length: str) -> DataFrame:
-    """`offset`: the lengths of all rows before, in each group."""
-    w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(length).over(w), F.lit(0)))
+    """`offset`: the lengths of all rows before, in each group. Rows are dealt by ranges of (group, order), so a group that
+    holds a third of all rows is in many tasks; each adds the sums of the group's parts before its own."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(parts, group, order).withColumn("_part", F.spark_partition_id()), "dealt")
+    sums = dealt.groupBy(group, "_part").agg(F.sum(length).alias("_n"))
+    before = sums.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), (F.sum("_n").over(W.partitionBy(group).orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a group and part
+    own = F.coalesce(F.sum(length).over(W.partitionBy("_part", group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = dealt.withColumn("_own", own).join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return out.select(*rows.columns, (F.col("_before") + F.col("_own")).alias("offset"))
 
 
 def greedy_packing(rows: DataFrame, group: str, order: str, length: str, width: int, words: str | None = None, most_words: int | None = None) -> DataFrame:
