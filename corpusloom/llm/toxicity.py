@@ -8,10 +8,11 @@ predicts that one, so a later model never sees a probability that an earlier
 model gave to its own training row. Scoring runs the models fitted on all
 rows, in order.
 
-Words are chosen from counts over all labelled rows (a distributed aggregation): those that
-are most in excess in some category by likelihood ratio, MAX_WORDS at most. The models are fitted on
+Words are chosen from counts over all labelled rows (a distributed aggregation): all those that
+are in excess in some category by a likelihood ratio of LEAST_RATIO. The models are fitted on
 at most MAX_ROWS labelled rows, the first by hash of their id; that bound
-is a parameter and all else covers all data.
+is a parameter and all else covers all data. A word that no fitted row has would get no weight, so only the
+fitted rows' words are sent to the driver, which bounds them by the rows' bound and not by the corpus.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, slices, split_words, stored, table, two
+from .common import ALNUM, slices, split_words, table, two
 
 #: Label column and the value that counts as positive, in chain order.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
-FOLDS, MAX_ROWS, MAX_WORDS, MIN_ROWS = 5, 20_000, 2_048, 5
+FOLDS, MAX_ROWS, LEAST_RATIO = 5, 20_000, 6.0
 #: Labels that are sent to all workers (20 bytes each: under 16 MB); beyond that the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -115,32 +116,57 @@ class Chain:
         return np.array(sorted(i for w in words if (i := self.words.get(w)) is not None), np.int64)
 
 
+def out_of_fold(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, fold: np.ndarray, width: int, folds: int) -> np.ndarray:
+    """The probability of each row by the model of the rows of the other folds."""
+    p = np.zeros(len(rows))
+    for k in range(folds):
+        out = fold == k
+        if out.any():
+            m = fit([r for r, o in zip(rows, out, strict=True) if not o], extra[~out], y[~out], width)
+            p[out] = m.predict([r for r, o in zip(rows, out, strict=True) if o], extra[out])
+    return p
+
+
+def best_cut(p: np.ndarray, y: np.ndarray) -> float:
+    """Between the probabilities at which F1 is best, 0.2 at least; of equal F1 the highest probability."""
+    if not len(p):
+        return 1.0
+    order = np.argsort(-p, kind="stable")
+    f1 = 2 * np.cumsum(y[order]) / (np.arange(1, len(y) + 1) + max(y.sum(), 1))
+    best = int(np.argmax(f1))
+    return max(0.2, float((p[order[best]] + (p[order[best + 1]] if best + 1 < len(p) else 0.0)) / 2))
+
+
 def train_chain(rows: list[np.ndarray], fold: np.ndarray, labels: np.ndarray, names: list[str], words: dict[str, int], folds: int = FOLDS) -> Chain:
     """Models of a chain, later ones trained on out-of-fold predictions of earlier ones.
     A category's cut is the out-of-fold probability of the best F1."""
     oof, models, cuts = np.empty((len(rows), 0)), [], []
     for c in range(len(names)):
         y = labels[:, c].astype(float)
-        p = np.zeros(len(rows))
-        for k in range(folds):
-            out = fold == k
-            if out.any():
-                m = fit([r for r, o in zip(rows, out, strict=True) if not o], oof[~out], y[~out], len(words))
-                p[out] = m.predict([r for r, o in zip(rows, out, strict=True) if o], oof[out])
+        p = out_of_fold(rows, oof, y, fold, len(words), folds)
         models.append(fit(rows, oof, y, len(words)))
-        order = np.argsort(-p, kind="stable")
-        hit = np.cumsum(y[order])
-        f1 = 2 * hit / (np.arange(1, len(y) + 1) + max(y.sum(), 1)) if len(y) else np.zeros(1)
-        best = int(np.argmax(f1))
-        low, high = (p[order[best]], p[order[best + 1]] if best + 1 < len(p) else 0.0) if len(p) else (1.0, 1.0)
-        cuts.append(max(0.2, float((low + high) / 2)))
+        cuts.append(best_cut(p, y))
         oof = np.column_stack((oof, p))
     return Chain(list(names), words, models, cuts)
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, folds: int = FOLDS) -> Chain:
+def fold_of(ids, folds: int) -> np.ndarray:
+    """Folds of ids by a hash, so equal ids share one."""
+    return np.array([((int(i) * 2654435761) >> 7 & 0xFFFF) % folds for i in ids], np.int64)
+
+
+def _listed(batches):
+    """Distinct words of a slice's texts."""
+    for batch in batches:
+        for part in slices(batch):
+            words, _ = split_words(part.column("text"), ALNUM)
+            yield pa.RecordBatch.from_arrays([words.unique()], ["word"])
+
+
+def fit_chain(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, least_ratio: float = LEAST_RATIO, folds: int = FOLDS) -> Chain:
     """Train on labelled documents. Rows with a null in some label are not used; of
-    several labels of one id the greatest counts. Without labelled rows nothing is ever positive."""
+    several labels of one id the greatest counts; document rows that repeat an id are each used, in one fold, and are all
+    taken into the sample or none. Without labelled rows nothing is ever positive."""
     names = [n for n, _, _ in chain]
     gold = labels.select(labels[id_col].cast("long").alias("id"), *[(labels[c] == v).cast("int").alias(f"y{i}") for i, (_, c, v) in enumerate(chain)]).dropna()
     gold = gold.groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(chain))])
@@ -150,18 +176,18 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "do
     sums = [F.sum(f"y{i}").alias(f"p{i}") for i in range(len(chain))]
     totals = labelled.agg(F.count("*").alias("n"), *sums).first()
     n = totals["n"] or 0
+    if not n:
+        return Chain(names, {}, [Logistic(np.zeros(0), np.zeros(i), -4.0) for i in range(len(chain))], [0.5] * len(chain))
     counted = labelled.mapInArrow(_counts(len(chain)), "word string, n long" + "".join(f", y{i} long" for i in range(len(chain))))
-    per = stored(counted.groupBy("word").agg(F.sum("n").alias("n"), *sums).where(F.col("n") >= MIN_ROWS), "words")
-    kept: dict[str, int] = {}
+    ratio = F.lit(0.0)
     for i in range(len(chain)):
-        p = totals[f"p{i}"] or 0
         # the likelihood ratio of the word's rows, where it is more common than elsewhere
-        o, e = F.col(f"p{i}") + 0.5, F.col("n") * ((p + 0.5) / (n + 1.0)) + 0.5
-        z = F.when(o > e, o * F.log(o / e)).otherwise(0.0)
-        for r in per.select("word", z.alias("z")).where("z >= 6").orderBy(F.desc("z"), "word").limit(max_words // len(chain)).collect():
-            kept.setdefault(r.word, len(kept))
-    words = kept
-    picked = F.broadcast(gold.select("id").orderBy(F.xxhash64("id"), "id").limit(max_rows))
+        o, e = F.col(f"p{i}") + 0.5, F.col("n") * ((totals[f"p{i}"] + 0.5) / (n + 1.0)) + 0.5
+        ratio = F.greatest(ratio, F.when(o > e, o * F.log(o / e)).otherwise(0.0))
+    told = counted.groupBy("word").agg(F.sum("n").alias("n"), *sums).where(ratio >= least_ratio).select("word")
+    sample = labelled.join(F.broadcast(gold.select("id").orderBy(F.xxhash64("id"), "id").limit(max_rows)), "id", "left_semi")
+    seen = sample.select("text").mapInArrow(_listed, "word string").distinct()
+    words = {r.word: i for i, r in enumerate(told.join(seen, "word", "left_semi").orderBy("word").collect())}
 
     def indexed(batches):
         for batch in batches:
@@ -169,13 +195,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "do
                 lists = [sorted(i for w in x if (i := words.get(w)) is not None) for x in _words_of(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(part.num_columns - 1)), pa.array(lists, pa.list_(pa.int32()))], [*part.schema.names[:-1], "at"])
 
-    got = labelled.join(picked, "id", "left_semi").mapInArrow(indexed, "id long, " + "".join(f"y{i} int, " for i in range(len(chain))) + "at array<int>").toPandas().sort_values("id")
+    got = sample.mapInArrow(indexed, "id long, " + "".join(f"y{i} int, " for i in range(len(chain))) + "at array<int>").toPandas()
+    got = got.iloc[sorted(range(len(got)), key=lambda i: (got["id"][i], list(got["at"][i])))]
     rows = [np.array(x, np.int64) for x in got["at"]]
-    fold = np.array([((int(i) * 2654435761) >> 7 & 0xFFFF) % folds for i in got["id"]], np.int64)
     y = got[[f"y{i}" for i in range(len(chain))]].to_numpy(np.int64).reshape(len(rows), len(chain))
-    if not len(rows):
-        return Chain(names, words, [Logistic(np.zeros(len(words)), np.zeros(i), -4.0) for i in range(len(chain))], [0.5] * len(chain))
-    return train_chain(rows, fold, y, names, words, folds)
+    return train_chain(rows, fold_of(got["id"], folds), y, names, words, folds)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,6 +217,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and verdicts of the chain that the labels table allows: low quality, then toxic."""
     docs = table(spark, sf_dir, "documents")
     chain = fit_chain(docs, table(spark, sf_dir, "labels"))
     return score(docs, chain).withColumnRenamed("id", "doc_id")
