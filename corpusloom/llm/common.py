@@ -6,8 +6,8 @@ grows with the corpus.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -16,37 +16,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import fresh as scratch
+from ..operators.scratch import shared_dir as shared_dir
+
 #: Rows of an Arrow batch that are worked on at once; bounds a worker's memory.
 SUB_ROWS = 4096
 #: Bytes of text worked on at once, unless a single row is longer.
 SUB_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the setting is absent (tests, a laptop) a temporary folder is made and
-    set for this session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corpusloom.scratch", None)
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("corpusloom.scratch", base)
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and
     a lost executor costs a reread, not a recomputation."""
@@ -70,6 +48,22 @@ def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
 
 
+def tidy(run):
+    """A generator over batches that gives freed memory back to the system at its end, so that a worker that waits for
+    its next task does not hold what the last one needed."""
+
+    @functools.wraps(run)
+    def out(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library trims by itself
+
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", rows: int = SUB_ROWS, size: int = SUB_BYTES):
     """Parts of a batch of at most `rows` rows and about `size` bytes."""
     n = batch.num_rows

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, hashed_words, slices, stored, table, two, window_hashes
+from .common import ALNUM, hashed_words, slices, stored, table, tidy, two, window_hashes
 
 WINDOW, K, BLOCK_WORDS = 10, 5, 4_000_000
 #: Blocks that a worker holds at once.
@@ -186,6 +186,7 @@ def _found(part: pa.Array, blocks: list) -> list[tuple[int, list[tuple[int, int]
 def _scan(blocks: list, last: bool):
     """Adds to each row what the blocks find; the last pass needs the texts no more."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -208,6 +209,7 @@ def _scan(blocks: list, last: bool):
 def _clean(blocks: list):
     """Drops the rows in which the blocks find something."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -264,6 +266,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's counts and digest of items, and the stretches that are hit."""
     out = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.expr("aggregate(hits, 0L, (a, x) -> a + x.e - x.s)")
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, scratch, slices, table, two
+from .common import drop_path, scratch, slices, table, tidy, two
 
 STEP, BLOCK_IDS, LIMIT = 64, 1 << 16, 16
 #: Distinct pieces of text whose ids a worker keeps; beyond that it starts anew.
@@ -320,6 +320,7 @@ def default_tokenizer() -> str:
 
 
 def _encode(path: str, end: int | None):
+    @tidy
     def run(batches):
         from pyspark import TaskContext
 
@@ -458,6 +459,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's figures, read back from the files that the documents were written to."""
     path = scratch(spark, "tokens")
     write_ids(table(spark, sf_dir, "documents"), path)
     return read_digests(spark, path).withColumnRenamed("id", "doc_id")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, bitmap_slot, hashed_words, id_bitmap, in_bitmap, mix, slices, stored, table, two, window_hashes
+from .common import WORDS, bitmap_slot, hashed_words, id_bitmap, in_bitmap, mix, slices, stored, table, tidy, two, window_hashes
 from .components import connected_components
 
 #: Words of a shingle, similarity in hundredths, coordinates, bands and coordinates of a band.
@@ -112,6 +112,7 @@ def _sums(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _sketches(size: int, bins: int, bands: int):
+    @tidy
     def run(batches):
         for batch in batches:
             for part in slices(batch):
@@ -123,6 +124,7 @@ def _sketches(size: int, bins: int, bands: int):
 
 
 def _sets(size: int, bitmap: np.ndarray):
+    @tidy
     def run(batches):
         for batch in batches:
             near = in_bitmap(bitmap, np.asarray(batch.column("at"), np.int64))

@@ -24,14 +24,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import slices, table, two
+from .common import slices, table, tidy, two
 
 SPACE = "▁"
 #: Marks a cut without a space in front; a lone surrogate is in no text.
 BARE = "\udc00"
+#: Bytes of text that are worked on at once, unless a single text is longer.
+SLICE = 1 << 20
 #: Distinct cuts that a worker keeps; beyond that half of them stay.
-KEPT = 1_000_000
+KEPT = 200_000
 
 
 class CharMap:
@@ -107,16 +110,13 @@ class CutTable:
             place[new[i : i + 50_000]] = np.arange(start, len(self.known))
         return place
 
-    def gathered(self, column: int, places: np.ndarray, index: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of a column for cuts in the order of texts, and where each text's begin."""
-        ends, data = np.frombuffer(self.ends[column], np.int64), np.frombuffer(self.data[column], np.uint8)
-        start, n = ends[places], ends[places + 1] - ends[places]
-        last = np.cumsum(n)
-        own = data[np.repeat(start - (last - n), n) + np.arange(last[-1] if len(last) else 0)]
-        strings = pa.BinaryArray.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(np.concatenate(([0], last)).astype(np.int32)), pa.py_buffer(own.tobytes())])
-        taken = strings.take(index)
-        offsets = np.frombuffer(taken.buffers()[1], np.int32, len(index) + 1)
-        return np.frombuffer(taken.buffers()[2], np.uint8, int(offsets[-1])), offsets[at].astype(np.int64)
+    def gathered(self, column: int, places: pa.Array, index: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of a column for cuts in the order of texts, and where each text's begin. The first take brings the cuts of
+        these texts together, the second one lays them out."""
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.known), [None, pa.py_buffer(self.ends[column]), pa.py_buffer(self.data[column])])
+        taken = held.take(places).take(index)
+        offsets = np.frombuffer(taken.buffers()[1], np.int64, len(index) + 1)[at]
+        return np.frombuffer(taken.buffers()[2], np.uint8, int(offsets[-1])), offsets
 
 
 class Codec:
@@ -229,7 +229,7 @@ class Codec:
             lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
             at = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))))
             coded = lists.flatten().dictionary_encode()
-            places = self.table.places(coded.dictionary.to_pylist(), self._learn)
+            places = pa.array(self.table.places(coded.dictionary.to_pylist(), self._learn))
             ids, wide, decimal, decoded = (self.table.gathered(c, places, coded.indices, at) for c in range(4))
             edge = ids[1] // 4
             flat, w = ids[0].view(np.uint32), wide[0].view(np.uint32).astype(np.int64)
@@ -301,20 +301,22 @@ def encode_pieces(docs: DataFrame, model_file: str | None = None, id_col: str =
     """
     path = model_file or default_model()
 
+    @tidy
     def run(batches):
         c = codec(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 got = _pieces(c, part)
-                yield pa.RecordBatch.from_arrays([part.column("id"), _lists([g.ids for g in got], np.int32), _lists([g.starts for g in got], np.int64), _lists([g.ends for g in got], np.int64)], ["id", "ids", "starts", "ends"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), _lists([g.ids for g in got], np.int32), _lists([g.starts for g in got], np.int32), _lists([g.ends for g in got], np.int32)], ["id", "ids", "starts", "ends"])
 
-    return two(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>, starts array<long>, ends array<long>")
+    return two(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode_pieces(coded: DataFrame, model_file: str | None = None, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, text) from (id, ids); null ids decode to an empty text."""
     path = model_file or default_model()
 
+    @tidy
     def run(batches):
         c = codec(path)
         for batch in batches:
@@ -336,10 +338,11 @@ def piece_digests(docs: DataFrame, model_file: str | None = None, id_col: str =
             h.update(np.ascontiguousarray(x))
         return h.hexdigest()
 
+    @tidy
     def run(batches):
         c = codec(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 got = _pieces(c, part)
                 n = pa.array([len(g.ids) for g in got], pa.int64())
                 covered = pa.array([int((g.ends - g.starts).sum()) for g in got], pa.int64())
@@ -350,18 +353,23 @@ def piece_digests(docs: DataFrame, model_file: str | None = None, id_col: str =
 
 
 def encoded_documents(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """Documents as training rows: doc_id, lang, source, n_tokens, the piece ids, and the source bytes of each."""
+    """Documents as training rows: doc_id, lang, source (null where documents lack them), n_tokens, the piece ids, and
+    the source bytes of each. Every row gets its own, also where an id repeats or is null; a null text has no pieces."""
     path = model_file or default_model()
+    kept = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
 
+    @tidy
     def run(batches):
         c = codec(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 got = _pieces(c, part)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("source"), pa.array([len(g.ids) for g in got], pa.int64()), _lists([g.ids for g in got], np.int32), _lists([g.starts for g in got], np.int64), _lists([g.ends for g in got], np.int64)], ["doc_id", "lang", "source", "n_tokens", "ids", "starts", "ends"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("source"), pa.array([len(g.ids) for g in got], pa.int64()), _lists([g.ids for g in got], np.int32), _lists([g.starts for g in got], np.int32), _lists([g.ends for g in got], np.int32)], ["doc_id", "lang", "source", "n_tokens", "ids", "starts", "ends"])
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(lang as string) as lang", "cast(source as string) as source", "cast(text as string) as text").mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, starts array<long>, ends array<long>")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *kept, docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's digests of ids and decoded texts, and one of the pieces' source bytes."""
     return piece_digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

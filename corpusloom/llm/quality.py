@@ -86,22 +86,29 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     whole. Repeated rows each get their row, a null id is passed through, other
     columns are ignored, and an empty table gives no rows.
     """
-    m = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).selectExpr("id", f"{_measures(stop_words)} as m")
-    m = m.selectExpr("id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_exclaims", "m.n_stop_words", "cast(m.lines.n as bigint) as n_lines", "cast(m.lines.dup as bigint) as n_dup_lines", "m.n_repeat_words")
-    failed = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
-    return m.selectExpr("*", f"{failed} as base_failed", f"not ({failed}) and {compile_rules(rules)} as kept")
+    return _judged(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")), "id", rules, stop_words)
+
+
+#: What fails a text whatever the rules say.
+_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
+
+
+def _judged(rows: DataFrame, keep: str, rules: tuple[Rule, ...], stop_words: list[str]) -> DataFrame:
+    """The column `keep`, the measures of the column text, base_failed and kept."""
+    m = rows.selectExpr(keep, f"{_measures(stop_words)} as m")
+    m = m.selectExpr(keep, "m.n_words", "m.word_chars", "m.n_symbols", "m.n_exclaims", "m.n_stop_words", "cast(m.lines.n as bigint) as n_lines", "cast(m.lines.dup as bigint) as n_dup_lines", "m.n_repeat_words")
+    return m.selectExpr("*", f"{_FAILED} as base_failed", f"not ({_FAILED}) and {compile_rules(rules)} as kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """Documents that pass, with their columns. Rows are judged where they stand, so
     rows that repeat an id are judged each by its own text."""
-    m = _measures(STOP_WORDS)
-    judged = docs.select(F.struct(*docs.columns).alias("row"), docs["text"].cast("string").alias("text")).selectExpr("row", f"{m} as m")
-    judged = judged.selectExpr("row", "m.*").selectExpr("row", "n_words", "word_chars", "n_symbols", "n_exclaims", "n_stop_words", "cast(lines.n as bigint) as n_lines", "cast(lines.dup as bigint) as n_dup_lines", "n_repeat_words")
-    return judged.where(f"n_words >= 10 and 100 * n_repeat_words <= 20 * n_words and {compile_rules()}").select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["text"].cast("string").alias("text"))
+    return _judged(rows, "row", RULES, STOP_WORDS).where("kept").select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's measures, and the verdict of RULES for texts that the base does not fail."""
     out = quality(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_exclaims", "n_lines")
 

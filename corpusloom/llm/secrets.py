@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, two
+from .common import slices, table, tidy, two
 
 
 @dataclass(frozen=True)
@@ -179,6 +179,7 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 
 
 def _scan(rules: tuple[Rule, ...]):
+    @tidy
     def run(batches):
         scanner = Scanner(rules)
         for batch in batches:
@@ -214,6 +215,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     and columns stay, texts without a secret (and nulls) as they are."""
     schema, kinds = docs.schema, rules
 
+    @tidy
     def run(batches):
         scanner = Scanner(kinds)
         for batch in batches:
@@ -235,6 +237,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's counts and digest of the base kinds, and all spans."""
     out = find_secrets(table(spark, sf_dir, "documents"))
     base = [r.kind for r in BASE]
     said = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
