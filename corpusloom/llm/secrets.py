@@ -3,12 +3,15 @@
 Each rule's regex is parsed and turned into a Boolean query over trigrams that
 every match must hold: a concatenation is an AND of its runs of literal text, an
 alternation an OR of its branches. Documents are indexed in segments (a slice of
-an Arrow batch): the postings of the trigrams that the queries name are built in one
+an Arrow batch): the postings of trigrams are built in one
 vectorised pass over the segment's bytes, lower-cased; queries intersect and
 unite postings, and only the documents that are left are searched with the
 regex. A rule without a mandatory trigram (a run of hex digits) scans every
 document. Segments are independent, so a lost executor costs its segments only and
 no postings are shuffled.
+
+index_documents() keeps the postings of all trigrams beside the texts, so that further rules are searched without
+reading other segments' texts anew; find_secrets() is one search, and posts only the trigrams that its rules name.
 """
 
 from __future__ import annotations
@@ -161,10 +164,10 @@ class Scanner:
                 out[g] = np.unique(row[hit + 3 <= at[row + 1]])
         return out
 
-    def scan(self, texts: pa.Array) -> list[list[tuple[int, int, int]]]:
+    def scan(self, texts: pa.Array, postings: dict[str, np.ndarray] | None = None) -> list[list[tuple[int, int, int]]]:
         """Spans (start, end, rule number) of each text, in code points."""
         n, found = len(texts), [[] for _ in range(len(texts))]
-        postings, strings = self.postings(texts), texts.to_pylist()
+        postings, strings = self.postings(texts) if postings is None else postings, texts.to_pylist()
         for k, (rule, regex, query) in enumerate(zip(self.rules, self.quick, self.queries, strict=True)):
             for i in evaluate(query, postings, n).tolist():
                 for m in regex.finditer(strings[i]):
@@ -175,6 +178,61 @@ class Scanner:
         return found
 
 
+def all_postings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted codes of the segment's trigrams of ASCII, lower-cased, where each one's rows end, and the rows."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    if data is None or at[-1] - at[0] < 3:
+        return np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.uint16)
+    lower = np.arange(256, dtype=np.int64)
+    lower[65:91] += 32
+    b = lower[np.frombuffer(data, np.uint8)[at[0] : at[-1]]]
+    row = np.repeat(np.arange(len(texts)), np.diff(at))
+    inside = (row[:-2] == row[2:]) & (np.maximum(np.maximum(b[:-2], b[1:-1]), b[2:]) < 128)
+    pair = np.unique(((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) << 16 | row[:-2])[inside])
+    codes, n = np.unique(pair >> 16, return_counts=True)
+    return codes.astype(np.uint32), np.cumsum(n).astype(np.uint32), (pair & 0xFFFF).astype(np.uint16)
+
+
+_SEGMENT = "ids array<long>, texts array<string>, codes binary, ends binary, rows binary"
+
+
+def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Segments: ids and texts of some rows, and the postings of all their trigrams. Written as a table, it serves any
+    number of searches; a null text is kept as null and holds no trigram."""
+
+    @tidy
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                made = all_postings(pa.array(pc.fill_null(part.column("text"), "")))
+                one = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, pa.array(part.column("id"))), pa.ListArray.from_arrays(one, pa.array(part.column("text"))), *(pa.array([x.tobytes()], pa.binary()) for x in made)], ["ids", "texts", "codes", "ends", "rows"])
+
+    return two(docs, id_col, text_col).mapInArrow(run, _SEGMENT)
+
+
+def search_index(segments: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """What find_secrets gives, from the stored postings."""
+
+    @tidy
+    def run(batches):
+        scanner = Scanner(rules)
+        for batch in batches:
+            for ids, texts, *stored in zip(*(batch.column(c) for c in ("ids", "texts", "codes", "ends", "rows")), strict=True):
+                codes, ends, rows = (np.frombuffer(x.as_py(), t) for x, t in zip(stored, (np.uint32, np.uint32, np.uint16), strict=True))
+                postings = dict.fromkeys(scanner.grams, np.empty(0, np.int64))
+                for code, gram in scanner.codes.items():
+                    i = int(np.searchsorted(codes, code))
+                    if i < len(codes) and codes[i] == code:
+                        postings[gram] = rows[int(ends[i - 1]) if i else 0 : int(ends[i])].astype(np.int64)
+                found = scanner.scan(pa.array(pc.fill_null(texts.values, "")), postings)
+                spans = pa.array([[{"kind": rules[k].kind, "start": s, "end": e} for s, e, k in x] for x in found], _SPANS)
+                yield pa.RecordBatch.from_arrays([ids.values, spans], ["id", "spans"])
+
+    return segments.mapInArrow(run, "id long, spans array<struct<kind: string, start: long, end: long>>")
+
+
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 

@@ -223,6 +223,20 @@ def test_secrets(spark):
     assert out[1].text == "my [SECRET]' and [SECRET]" and out[1].n_chars == len(out[1].text) and out[2].text is None and out[3].text == "clean"
 
 
+def test_stored_trigram_index_serves_any_rules(spark, docs, none, tmp_path):
+    rows = [(i, t) for i, t in enumerate(SECRET_TEXTS)] + [(None, SECRET_TEXTS[0]), (3, SECRET_TEXTS[3]), (50, "é" * 3000 + " PassWord: abcdefghij"), (51, "pas"), (52, "sword=abcdefghij")]
+    df = clash(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    secrets.index_documents(df).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    said = lambda x: collections.Counter((r.id, str(r.spans)) for r in x.collect())
+    for rules in (secrets.RULES, secrets.MORE, (secrets.Rule("word", "pass(word|wd)", flags=re.I),)):
+        assert said(secrets.search_index(index, rules)) == said(secrets.find_secrets(df, rules=rules))
+    assert secrets.search_index(secrets.index_documents(none), secrets.RULES).count() == 0
+    codes, ends, posted = secrets.all_postings(pa.array(["abc ABC", "", "xabc", "abé"]))
+    at = {int(c): posted[int(ends[i - 1]) if i else 0 : int(ends[i])].tolist() for i, c in enumerate(codes)}
+    assert at[ord("a") << 16 | ord("b") << 8 | ord("c")] == [0, 2] and len(at) == 5
+
+
 def test_warc(spark, tmp_path):
     big, bigger = "<p>é</p>" * 20, "x" * 300_000
     rows = [(1, "http://WWW.b.com/x?b=2&a=1#f", big), (2, "http://a.com/", big), (3, None, None), (4, "http://a.com", ""), (5, "http://a.com/ y\r\n", "short"), (6, "http://a.com/z", "short"), (7, "http://c.com", bigger), (9, "http://c.com", bigger), (8, "http://c.com", bigger), (2, "http://a.com/", big)]
