@@ -42,9 +42,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that Spark sends to a Python worker, and takes back, at once, unless a single row is longer.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Holds Arrow's batches in this session to BATCH_BYTES, so that long texts do not fill the memory of either side; a
+    smaller setting stays."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is not None and not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def two(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and text, under names of our own, so that other columns of any
     name cannot clash."""
+    bounded(df)
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
 
 

@@ -25,9 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, hashed_words, slices, stored, table, tidy, two, window_hashes
+from .common import ALNUM, bounded, hashed_words, slices, stored, table, tidy, two, window_hashes
 
 WINDOW, K, BLOCK_WORDS = 10, 5, 4_000_000
+#: Bytes of text that are worked on at once, unless a single text is longer.
+SLICE = 1 << 20
 #: Blocks that a worker holds at once.
 PASS = 4
 _SCHEMA = "id long, text string, n_words long, hits array<struct<s: long, e: long>>, items array<long>"
@@ -189,7 +191,7 @@ def _scan(blocks: list, last: bool):
     @tidy
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 hits, items = part.column("hits").to_pylist(), part.column("items").to_pylist()
                 found = [(n, merged(x + [(y["s"], y["e"]) for y in h]), sorted({*i, *j})) for (n, x, i), h, j in zip(_found(part.column("text"), blocks), hits, items, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -212,7 +214,7 @@ def _clean(blocks: list):
     @tidy
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 found = _found(pc.cast(part.column("text"), pa.string()), blocks)
                 yield part.filter(pa.array([not spans for _, spans, _ in found]))
 
@@ -261,7 +263,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents less those that hold a benchmark passage; columns as given. Every row is judged by its own
     text, also where its id repeats or is null; a null text stays."""
     for i, blocks in enumerate(_passes(benchmark, "item_id", "text", WINDOW, K, BLOCK_WORDS)):
-        docs = (stored(docs, "pass") if i else docs).mapInArrow(_clean(blocks), docs.schema)
+        docs = bounded(stored(docs, "pass") if i else docs).mapInArrow(_clean(blocks), docs.schema)
     return docs
 
 

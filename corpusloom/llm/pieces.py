@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, tidy, two
+from .common import bounded, slices, table, tidy, two
 
 SPACE = "▁"
 #: Marks a cut without a space in front; a lone surrogate is in no text.
@@ -367,7 +367,7 @@ def encoded_documents(docs: DataFrame, model_file: str | None = None) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("source"), pa.array([len(g.ids) for g in got], pa.int64()), _lists([g.ids for g in got], np.int32), _lists([g.starts for g in got], np.int32), _lists([g.ends for g in got], np.int32)], ["doc_id", "lang", "source", "n_tokens", "ids", "starts", "ends"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *kept, docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, starts array<int>, ends array<int>")
+    return bounded(rows).mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

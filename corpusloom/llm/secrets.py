@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, tidy, two
+from .common import bounded, slices, table, tidy, two
 
 
 @dataclass(frozen=True)
@@ -291,7 +291,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     part = pa.RecordBatch.from_arrays(arrays, names=part.schema.names)
                 yield part
 
-    return docs.mapInArrow(run, schema)
+    return bounded(docs).mapInArrow(run, schema)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
