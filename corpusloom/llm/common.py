@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,13 @@ def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle and checkpoint files that nothing refers to any more; it learns of them when the
+    driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -12,7 +12,6 @@ is committed by Spark.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, scratch, slices, table, tidy, two
+from .common import drop_path, scratch, slices, swept, table, tidy, two
 
 STEP, BLOCK_IDS, LIMIT = 64, 1 << 16, 16
 #: Distinct pieces of text whose ids a worker keeps; beyond that it starts anew.
@@ -402,8 +401,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     staged = scratch(spark, "ids")
     rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(_encode(tokenizer or default_tokenizer(), end), _STAGED).write.option("compression", "zstd").parquet(staged)
-    gc.collect()
-    spark._jvm.System.gc()  # the shuffle that sorted the texts is no longer needed
+    swept(spark)  # the shuffle that sorted the texts is no longer needed
     ids = spark.read.schema(_STAGED).parquet(staged)
     counts = ids.where("counts is not null").select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     sums = {r.part: r.n for r in ids.groupBy("part").agg(F.sum("n").alias("n")).collect()}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, bitmap_slot, hashed_words, id_bitmap, in_bitmap, mix, slices, stored, table, tidy, two, window_hashes
+from .common import WORDS, bitmap_slot, hashed_words, id_bitmap, in_bitmap, mix, slices, stored, swept, table, tidy, two, window_hashes
 from .components import connected_components
 
 #: Words of a shingle, similarity in hundredths, coordinates, bands and coordinates of a band.
@@ -161,12 +161,15 @@ class _Linker:
         sets = at.mapInArrow(_sets(self.size, bitmap), "id long, n long, d1 long, d2 long, set array<long>").groupBy("id", "n", "d1", "d2").agg(F.first("set").alias("set"))
         needed = band.select("v").distinct().join(self.classes.select("v", "id", "n", "d1", "d2"), "v")
         self.sets = stored(sets.join(needed, ["id", "n", "d1", "d2"]).select("v", "set"), "sets")
+        swept(self.sets.sparkSession)
 
     def confirmed(self, pairs: DataFrame, label: str = "links") -> DataFrame:
         """Of pairs (a, b) those that link."""
         both = pairs.join(self.sets.select(F.col("v").alias("b"), F.col("set").alias("sb")), "b").join(self.sets.select(F.col("v").alias("a"), F.col("set").alias("sa")), "a")
         both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))
-        return stored(both.where(f"100 * i >= {self.percent} * (na + nb - i)").select("a", "b"), label)
+        links = stored(both.where(f"100 * i >= {self.percent} * (na + nb - i)").select("a", "b"), label)
+        swept(links.sparkSession)
+        return links
 
     def labelled(self, band: DataFrame, comp: DataFrame) -> DataFrame:
         return band.select("key", "v", "n").join(comp, "v", "left").withColumn("component", F.coalesce("component", "v"))
