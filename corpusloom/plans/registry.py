@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.planes import planes
 from ..operators import decontam, dedup, folds, metrics, sampling, trees
-from ..operators.scratch import fresh
+from ..operators.scratch import bounded, fresh
 from ..sources import readers
 from ..streaming.decontam import run_stream
 
@@ -424,7 +424,7 @@ _AS_GREEK = "translate({0}, 'abcdefghijklmnopqrstuvwxyzßæœ', 'αβγδεφγ
  cast(case when len(w) = 0 then 0 else 1 + len(list_filter(gaps[2:len(gaps) - 1], lambda x: regexp_matches(x, '[.;!?]'))) end as bigint) as n_sentences,
  cast(len(list_filter(gaps[2:len(gaps) - 1], lambda x: regexp_matches(x, ',') and not regexp_matches(x, '[.;!?:·]'))) as bigint) as n_commas from g""")
 def letter_planes(spark, d):
-    p = table(spark, d, "documents").select("doc_id", planes(F.translate(T.fold(F.col("text")), "abcdefghijklmnopqrstuvwxyzßæœ", "αβγδεφγηιικλμνοπκρστυβωξυζσεε")).alias("p")).select("doc_id", F.coalesce("p.boundary", F.array().cast("array<tinyint>")).alias("b"), F.coalesce("p.punct", F.array().cast("array<tinyint>")).alias("s"))
+    p = bounded(table(spark, d, "documents")).select("doc_id", planes(F.translate(T.fold(F.col("text")), "abcdefghijklmnopqrstuvwxyzßæœ", "αβγδεφγηιικλμνοπκρστυβωξυζσεε")).alias("p")).select("doc_id", F.coalesce("p.boundary", F.array().cast("array<tinyint>")).alias("b"), F.coalesce("p.punct", F.array().cast("array<tinyint>")).alias("s"))
     count = lambda x: F.size(x).cast("long")
     inner = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
     return p.select("doc_id", count("b").alias("n_letters"), count(F.filter("b", lambda x: x >= 1)).alias("n_words"), count(F.filter("b", lambda x: x == 2)).alias("n_sentences"), count(F.filter(inner("s"), lambda x: x == 1)).alias("n_commas"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import unicodedata
 from itertools import product
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import planes as P
 from corpusloom.functions import text as T
-from corpusloom.operators import conll, marks, metre, noise, reports, sampling, trees, ud
+from corpusloom.operators import conll, marks, metre, noise, reports, sampling, scratch, trees, ud
 
 
 def brute_planes(text):
@@ -400,3 +401,28 @@ def test_second_normaliser_agrees(spark):
     for r in got:
         assert folds.second_words(r.t) == r.w, r.t
     assert pd.Series(folds.second_words("abc λόγος", greek=True)).tolist() == ["λογοσ"]
+
+
+def test_planes_keep_a_byte_a_letter_and_field():
+    """A batch of texts, of which eight bytes a letter and field were kept until its end."""
+    texts = pd.Series(["αβγδ " * 4000] * 40)
+    tracemalloc.start()
+    try:
+        got = P.planes.func(texts)
+        assert tracemalloc.get_traced_memory()[1] < 20 * 16000 * 40 and set(got["chars"].map(len)) == {16000}
+    finally:
+        tracemalloc.stop()
+
+
+def test_batches_are_bounded_where_nothing_was_set(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("α"), 5000).alias("t"))
+        assert scratch.bounded(rows) is rows and rows.select(F.pandas_udf(lambda t: pd.Series([len(t)] * len(t)), "long")("t").alias("n")).agg(F.max("n")).first()[0] < 500
+        spark.conf.set(key, "1000")
+        scratch.bounded(rows)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)
