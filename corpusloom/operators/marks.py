@@ -9,10 +9,12 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from array import array
 from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,20 +53,21 @@ def write_lengths(plain: str, labels: dict[int, int]) -> str:
     return "".join(c + ("_^"[labels[n - 1]] if P.is_letter(c[0]) and n - 1 in labels else "") for c, n in zip(clusters, upto, strict=True))
 
 
+_SPAN = re.compile(r"\[([^\]]*)\]|\{([^}]*)\}")
+
+
 def read_scansion(bracketed: str) -> tuple[str, dict[int, int]] | None:
     """The plain text and the scansion of [heavy] and {light} spans: the class stands on a span's last letter, and
     the line's last one is the verse's end. None without spans that hold a letter."""
-    pieces = [x for x in re.split(r"(\[[^\]]*\]|\{[^}]*\})", bracketed) if x]
-    bare = [x[1:-1] if x[0] + x[-1] in ("[]", "{}") and len(x) > 1 else x for x in pieces]
-    ends = list(accumulate(sum(map(P.is_letter, x)) for x in bare))
-    labels = {}
-    for piece, text, n, before in zip(pieces, bare, ends, [0, *ends], strict=False):
-        if text != piece and n > before:
-            labels[n - 1] = HEAVY if piece[0] == "[" else LIGHT
-    if not labels:
+    spans = np.array([m.span() for m in _SPAN.finditer(bracketed)], np.int64).reshape(-1, 2)
+    codes = P.code_points(bracketed)
+    upto = np.concatenate(([0], np.cumsum(P.are_letters(codes))))
+    spans = spans[upto[spans[:, 1]] > upto[spans[:, 0]]]
+    if not len(spans):
         return None
-    labels[max(labels)] = VERSE
-    return unicodedata.normalize("NFC", "".join(bare)), labels
+    labels = np.where(codes[spans[:, 0]] == ord("["), HEAVY, LIGHT)
+    labels[-1] = VERSE
+    return unicodedata.normalize("NFC", _SPAN.sub(r"\1\2", bracketed)), dict(zip((upto[spans[:, 1]] - 1).tolist(), labels.tolist(), strict=True))
 
 
 def write_scansion(plain: str, labels: dict[int, int]) -> str:
@@ -117,11 +120,22 @@ _LABELS = T.StructType([T.StructField("plain", T.StringType()), T.StructField("l
 
 
 def _parsed(read):
-    def run(text: pd.Series) -> pd.DataFrame:
-        found = [read(t) if t is not None else None for t in text]
-        return pd.DataFrame({"plain": [x[0] if x else None for x in found], "labels": [x[1] if x else None for x in found]})
-
-    return F.pandas_udf(run, _LABELS)
+    def run(text: pa.Array) -> pa.Array:
+        # of each text only its plain form and two numbers a label are kept, not a dictionary
+        plain, sizes, keys, values = [], [], array("i"), array("i")
+        for t in text:
+            x = read(t.as_py()) if t.is_valid else None
+            plain.append(x[0] if x else None), sizes.append(len(x[1]) if x else 0)
+            if x:
+                keys.extend(x[1]), values.extend(x[1].values())
+        none = np.array([x is None for x in plain], bool)
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        offsets = pa.array(ends.astype(np.int32), mask=np.append(none, False))
+        labels = pa.MapArray.from_arrays(offsets, pa.array(np.frombuffer(keys, np.int32)), pa.array(np.frombuffer(values, np.int32)))
+        return pa.StructArray.from_arrays([pa.array(plain, pa.string()), labels], ["plain", "labels"], mask=pa.array(none))
+
+    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _LABELS)
 
 
 length_labels, scansion_labels = _parsed(read_lengths), _parsed(read_scansion)

@@ -8,6 +8,8 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -414,6 +416,19 @@ def test_planes_keep_a_byte_a_letter_and_field():
         tracemalloc.stop()
 
 
+def test_labels_of_long_lines(spark):
+    """Labels go to Arrow as two numbers each; a line without spans is null, as a missing one is."""
+    line = "[αβ] {γ} " * 20000
+    tracemalloc.start()
+    try:
+        got = marks.scansion_labels.func(pa.array([line] * 25))
+        assert tracemalloc.get_traced_memory()[1] < 60_000_000 and pc.sum(pc.list_value_length(pc.struct_field(got, "labels").cast(pa.list_(pa.struct([("key", pa.int32()), ("value", pa.int32())]))))).as_py() == 25 * 40000
+    finally:
+        tracemalloc.stop()
+    rows = spark.createDataFrame([(0, "[αβ] {γ}[δ]"), (1, "αβ"), (2, None), (3, "[,]"), (4, "{α}")], "i int, t string")
+    assert {r.i: r.x and (r.x.plain, r.x.labels) for r in rows.select("i", marks.scansion_labels("t").alias("x")).collect()} == {0: ("αβ γδ", {1: 1, 2: 2, 3: 3}), 1: None, 2: None, 3: None, 4: ("α", {0: 3})}
+
+
 def test_batches_are_bounded_where_nothing_was_set(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
